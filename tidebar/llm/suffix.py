@@ -223,19 +223,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     return rows, materialize(spots, "spots")
 
 
-def _removed(n: int, spots: list[dict] | None, length: int) -> np.ndarray:
+def _removed(n: int, spots: pa.Scalar, length: int) -> np.ndarray:
     """Which of n bytes a repeated window covers."""
-    edge = np.zeros(n + 1, dtype=np.int32)
-    for s in spots or ():
-        if s["whole"]:
-            starts = np.arange(s["lo"], s["hi"] + 1)
-        elif s["bits"] is not None:
-            starts = s["lo"] + np.flatnonzero(np.unpackbits(np.frombuffer(s["bits"], np.uint8))[: s["hi"] - s["lo"] + 1])
+    gone = np.zeros(n, dtype=bool)
+    if not spots.is_valid:
+        return gone
+    v = spots.values
+    lo, hi = v.field("lo").to_numpy(), v.field("hi").to_numpy()
+    whole = v.field("whole").is_valid().to_numpy(zero_copy_only=False)
+    edge = np.bincount(lo[whole], minlength=n + 1) - np.bincount(hi[whole] + length, minlength=n + 1)
+    gone |= np.cumsum(edge[:-1]) > 0
+    bits, more = v.field("bits"), v.field("more")
+    for k in np.flatnonzero(~whole).tolist():
+        if (b := bits[k]).is_valid:
+            starts = np.flatnonzero(np.unpackbits(np.frombuffer(b.as_py(), np.uint8))[: hi[k] - lo[k] + 1])
         else:
-            starts = s["lo"] + np.array(s["more"], dtype=np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+            starts = np.array(more[k].as_py(), dtype=np.int64)
+        starts = np.sort(starts)
+        new = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + 1]))
+        for a, z in zip(starts[new].tolist(), starts[np.append(new[1:], len(starts)) - 1].tolist(), strict=True):
+            gone[lo[k] + a : lo[k] + z + length] = True
+    return gone
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: list[str] = ()) -> DataFrame:
@@ -258,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
             out = []
             for text, spots in zip(b.column("text"), b.column("spots"), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                gone = _removed(len(data), spots.as_py(), length)
+                gone = _removed(len(data), spots, length)
                 n = int(gone.sum())
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if n else data
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if n else 0
