@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LENGTH, GRAM = 200, 32
-#: Bytes handled at once, strings of one anchor compared in one task, strings inserted together.
-PART, BLOCK, TOGETHER = 1 << 21, 512, 16_384
+#: Bytes handled at once, strings of one anchor compared in one task, strings inserted together, neighbouring windows looked up by the bytes they share.
+PART, BLOCK, TOGETHER, NEAR = 1 << 21, 512, 16_384, 16
 _POS_BITS = 22
 _END = 256
 
@@ -162,9 +162,11 @@ def _merged(batches, rows: int = 50_000):
 
 
 def _compare(strings: DataFrame, length: int, gram: int) -> DataFrame:
-    """strings: kh, block, blocks, ctx, at, hi - lo + 1 as n, bytes. Rows: ctx and bits (its repeated windows), and for
-    anchors of several blocks one row for each class of windows of a block: kh, place, wh (128-bit key), ctx and w (the window) if it is alone there."""
-    schema = pa.schema([("ctx", pa.binary()), ("bits", pa.binary()), ("kh", pa.int64()), ("place", pa.int32()), ("wh", pa.binary()), ("w", pa.int32())])
+    """strings: kh, block, blocks, ctx, at, hi - lo + 1 as n, bytes. Rows: ctx and bits (its repeated windows), and for anchors
+    of several blocks kh, near, core (a key of the bytes that up to NEAR neighbouring windows share) and their classes in the
+    block: place, wh (128-bit key), ctx and w (the window) if it is alone there. Equal windows have equal cores."""
+    kind = pa.struct([("place", pa.int32()), ("wh", pa.binary()), ("ctx", pa.binary()), ("w", pa.int32())])
+    schema = pa.schema([("ctx", pa.binary()), ("bits", pa.binary()), ("kh", pa.int64()), ("near", pa.int32()), ("core", pa.binary()), ("classes", pa.list_(kind))])
 
     def run(batches):
         held: list[tuple] = []
@@ -190,15 +192,20 @@ def _compare(strings: DataFrame, length: int, gram: int) -> DataFrame:
         repeated, leading = repeated_windows([r[6] for r in rows], at, group, n, length, gram)
         hit = np.flatnonzero(repeated.any(axis=1)).tolist()
         out: list[tuple] = [(rows[i][3], np.packbits(repeated[i]).tobytes(), None, None, None, None) for i in hit]
+        cores: dict[tuple, list[dict]] = {}
+        key = lambda b: hashlib.blake2b(b, digest_size=16).digest()
         for i, r in enumerate(rows):
             if r[2] > 1:
                 for w in np.flatnonzero(leading[i]).tolist():
-                    alone = not repeated[i, w]
-                    out.append((r[3] if alone else None, None, r[0], w - r[4], hashlib.blake2b(r[6][w : w + length], digest_size=16).digest(), w if alone else None))
+                    alone, place = not repeated[i, w], w - r[4]
+                    near = place // NEAR
+                    core = r[6][r[4] + near * NEAR + NEAR - 1 : r[4] + near * NEAR + length]
+                    cores.setdefault((r[0], r[1], near, core), []).append({"place": place, "wh": key(r[6][w : w + length]), "ctx": r[3] if alone else None, "w": w if alone else None})
+        out += [(None, None, kh, near, key(core), classes) for (kh, _, near, core), classes in cores.items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return strings.mapInArrow(run, "ctx binary, bits binary, kh bigint, place int, wh binary, w int")
+    return strings.mapInArrow(run, "ctx binary, bits binary, kh bigint, near int, core binary, classes array<struct<place:int,wh:binary,ctx:binary,w:int>>")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -213,9 +220,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     strings = strings.select("kh", "block", "blocks", "ctx", "at", (F.col("hi") - F.col("lo") + 1).alias("n"), "bytes")
     strings = strings.repartition("kh", "block").sortWithinPartitions("kh", "block")
     found = materialize(_compare(strings, length, gram), "repeats")
-    classes = found.where("wh is not null")
-    shared = classes.groupBy("kh", "place", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    more = classes.where("w is not null").join(shared, ["kh", "place", "wh"]).groupBy("ctx").agg(F.collect_set("w").alias("more"))
+    cores = found.where("core is not null").select("kh", "near", "core", "classes")
+    shared = cores.groupBy("kh", "near", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    classes = cores.join(shared, ["kh", "near", "core"]).select("kh", F.inline("classes"))
+    twice = classes.groupBy("kh", "place", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    more = classes.where("w is not null").join(twice, ["kh", "place", "wh"]).groupBy("ctx").agg(F.collect_set("w").alias("more"))
     marks = whole.select("ctx", "whole", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<int>").alias("more"))
     marks = marks.union(found.where("bits is not null").select("ctx", F.lit(None).cast("boolean"), "bits", F.lit(None).cast("array<int>")))
     marks = marks.union(more.select("ctx", F.lit(None).cast("boolean"), F.lit(None).cast("binary"), "more"))
