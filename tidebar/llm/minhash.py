@@ -14,8 +14,8 @@ from .components import connected
 BUCKETS, BAND, MANTISSA = 200, 5, 9
 #: Sets smaller than this aren't judged by estimate; larger ones are verified if the estimate is within MARGIN below the threshold (over six deviations).
 MIN_ESTIMATED, MARGIN = 64, 0.25
-#: Members of a bucket compared at once.
-BLOCK = 512
+#: Members of a bucket compared at once, and members up to which a bucket's pairs are joined as rows.
+BLOCK, SMALL = 512, 32
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -148,6 +148,31 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return members.join(size.select("band", "key", "size", F.col("low.id").alias("hub"), F.col("low.comp").alias("hub_comp")), ["band", "key"])
 
 
+def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose set sizes and corrected estimate allow a link."""
+    own = sketch.select("id", "n_shingles", "regs")
+    df = pairs.join(own.toDF("a", "na", "ra"), "a").join(own.toDF("b", "nb", "rb"), "b").where(f"na * 100 >= {percent} * nb and nb * 100 >= {percent} * na")
+    least = percent / 100 - MARGIN
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
+            small = np.minimum(b.column("na").to_numpy(), b.column("nb").to_numpy()) < MIN_ESTIMATED
+            keep = pa.array((estimate((x == y).sum(axis=1)) >= least) | small)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    return df.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """Every pair of different components in the buckets of at most SMALL members."""
+    m = members.where(F.col("size") <= SMALL)
+    x, y = m.select("band", "key", F.col("id").alias("a"), F.col("comp").alias("ca")), m.select("band", "key", F.col("id").alias("b"), F.col("comp").alias("cb"))
+    return x.join(y, ["band", "key"]).where("a < b and ca != cb").select("a", "b").distinct()
+
+
 def _block_pairs(members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """Every pair (a, b) of different components in a bucket whose estimate allows a link, once: from the first band they share.
 
@@ -211,10 +236,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, star_rounds:
     for _ in range(star_rounds):
         open_ = _open_buckets(_labelled(members, links)).where("comp != hub_comp")
         pairs = materialize(open_.groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "star-pairs")
-        found = verify(pairs, docs, k, percent)
+        found = verify(materialize(_estimated(pairs, own, percent), "likely-pairs"), docs, k, percent)
         links = materialize(found if links is None else links.union(found), "links")
     rest = _open_buckets(_labelled(members, links)).select("band", "key", "size", "id", "comp")
-    pairs = materialize(_block_pairs(rest, own, percent), "block-pairs")
+    rest = materialize(rest, "open-buckets")
+    pairs = _estimated(_small_pairs(rest), own, percent).union(_block_pairs(rest.where(F.col("size") > SMALL), own, percent))
+    pairs = materialize(pairs.distinct(), "block-pairs")
     links = materialize(links.union(verify(pairs, docs, k, percent)), "links")
     # other rows of a doc_id that stands for several sets, or that isn't the least of its set, lead to the representative
     same = sketch.where("set_key is not null and doc_id is not null").join(reps, "set_key").where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
