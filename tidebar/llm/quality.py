@@ -33,8 +33,12 @@ def with_features(docs: DataFrame) -> DataFrame:
     df = docs.withColumn("__w", F.filter(F.split(text, SPACE_CLASS), lambda w: w != ""))
     df = df.withColumn("__l", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CLASS)))
     n = F.size("__w")
-    # every 3-word window with its place; equal windows are neighbours after the sort
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).alias("w"), i.alias("i")))).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
+    at = lambda i, k: F.get("__w", i + k)
+    places = F.sequence(F.lit(0), n - 3)
+    df = df.withColumn("__h", F.when(n >= 3, F.transform(places, lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2)))).otherwise(F.array().cast("array<bigint>")))
+    # where two hashes agree, every 3-word window with its place; equal windows are neighbours after the sort
+    some = F.size(F.array_distinct("__h")) < F.size("__h")
+    windows = F.when(some, F.transform(places, lambda i: F.struct(F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)).alias("w"), i.alias("i")))).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
     df = df.withColumn("__s", F.sort_array(windows))
     s = F.col("__s")
     again = F.filter(s, lambda x, k: (F.get(s, k - 1)["w"] == x["w"]) | (F.get(s, k + 1)["w"] == x["w"]))
