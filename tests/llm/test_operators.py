@@ -156,6 +156,15 @@ def word_ids(rows, end):
     return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4")) for i, x in rows]
 
 
+def test_word_ids_of_odd_words():
+    from tidebar.llm.tokens import WordTokenizer
+
+    t = WordTokenizer(WORD_BPE)
+    texts = ["gezube$$$ x*** ab.,! don't. they're's naïve, ÑANDÚ; ß ŒUVRE İstanbul ǅ ﬁne e\u0301te\u0301 ªº x1% 12# <|endoftext|>. a|b a<b> ... #x ΣΑΣ. 中文, \u0149a k\u212a", "MÉLANGE ÿ. µm", "'s 't. x's&"]
+    for text in [*texts, *" ".join(texts).split()]:
+        assert t.encode(text) + b"\2\0\0\0" == word_ids([(None, text)], 2)[0][1].tobytes()
+
+
 def test_packed_files(docs, monkeypatch):
     df, rows = docs
     got = [tuple(r) for r in binary.read(*binary.write(df, WORD_BPE, 1)).select("start", "doc_id", "n_tokens", "ids_crc32").collect()]

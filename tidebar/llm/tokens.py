@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Callable
@@ -43,6 +44,51 @@ class ChunkCache(dict):
         return self.encode(key)
 
 
+#: The splitting pattern for which words of letters go to the BPE model directly, and the marks that end a run of letters.
+_LETTERS_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = ".,!?;:#*$%&"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _splits_letters(tokenizer) -> bool:
+    """Whether a tokenizer only composes, lower-cases and splits by _LETTERS_SPLIT before its byte-level BPE."""
+    spec = json.loads(tokenizer.to_str())
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"]:
+        return False
+    return pre[0]["pattern"] == {"Regex": _LETTERS_SPLIT} and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"] and spec["model"]["type"] == "BPE"
+
+
+class _WordCache(ChunkCache):
+    """A chunk of lower-case letters below U+0300 is one pre-token in composed form, which the BPE model takes as it
+    is; marks behind letters are a pre-token of their own. Other chunks go through the library whole."""
+
+    def __init__(self, tokenizer, encode: Callable[[str], bytes]):
+        super().__init__(encode)
+        self.model, self.letters = tokenizer.model, _byte_letters()
+
+    def __missing__(self, key: str) -> bytes:
+        word = key.rstrip(_MARKS)
+        if not word.isalpha() or max(word) >= "\u0300" or word != word.lower():
+            out = self.encode(key)
+        elif len(word) < len(key):
+            out = self[word] + self[key[len(word) :]]
+        else:
+            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            out = np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
+        if len(self) >= MAX_CACHED:
+            self.clear()
+        self[key] = out
+        return out
+
+
 class WordTokenizer:
     """ids of a ``tokenizers`` file whose pre-tokenizer drops white space, as little-endian 32-bit numbers.
 
@@ -56,7 +102,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = ChunkCache(self._whole)
+        self.cache = _WordCache(self.tokenizer, self._whole) if _splits_letters(self.tokenizer) else ChunkCache(self._whole)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
