@@ -365,6 +365,7 @@ def test_embeddings(spark, window, monkeypatch):
     base = rng.standard_normal(64)
     rows += [(9000 + i, (base + 0.12 * rng.standard_normal(64)).tolist(), 3) for i in range(150)]
     rows += [(9500, rows[0][1], None), (9501, None, 3), (9502, [], 3), (9503, [0.0] * 64, 3), (9504, [float("nan")] * 64, 3), (9505, [1.0, None], 3), (9506, [float("inf"), 1.0], 3), (9507, [1.0, 2.0], 3), (9508, [2.0, 4.0], 3), (9509, [1e-30, 2e-30], 3), (9510, rows[0][1], rows[0][2])]
+    rows += [(9600 + i, base.tolist(), 3) for i in range(20)] + [(9700 + i, (2 * base).tolist(), 3) for i in range(5)] + [(9800, base.tolist(), 2)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
     rows = [(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e], label) for i, e, label in rows]
     same(embeddings.near_duplicates(df), ["vec_id", "n_links", "component_id", "kept"], vec_expected(rows))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -35,28 +36,32 @@ def _usable(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(rows: DataFrame, passes: int, seed: int) -> DataFrame:
-    """id, label, dim, vec (unit vector, float64 bytes), sigs (the order of each pass): BITS random signs, high bits first."""
+    """id, label, dim, vec (unit vector, float64 bytes), key (128 bits of label and vec), sigs (the order of each pass): BITS random signs, high bits first."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for b in batches:
-            vecs, sigs = [], []
-            for x in b.column(2):
+            vecs, keys, sigs = [], [], []
+            for label, x in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 v = np.array(x.values.to_numpy(zero_copy_only=False), dtype=np.float64)
                 v = v / np.abs(v).max()
-                v = v / np.sqrt((v * v).sum())
+                v = v / np.sqrt((v * v).sum()) + 0.0
                 if (p := planes.get(len(v))) is None:
                     p = planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((passes, BITS, len(v)))
                 vecs.append(v.tobytes())
+                keys.append(hashlib.blake2b(vecs[-1] + label.encode(), digest_size=16).digest())
                 sigs.append(((p @ v > 0) @ weights).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(v) // 8 for v in vecs], pa.int32()), pa.array(vecs, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "label", "dim", "vec", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(v) // 8 for v in vecs], pa.int32()), pa.array(vecs, pa.binary()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "label", "dim", "vec", "key", "sigs"])
 
-    return rows.select("id", "label", "e").mapInArrow(run, "id bigint, label string, dim int, vec binary, sigs array<bigint>")
+    return rows.select("id", "label", "e").mapInArrow(run, "id bigint, label string, dim int, vec binary, key binary, sigs array<bigint>")
 
 
-def links(docs: DataFrame, threshold: float = 0.98, window: int = WINDOW, seed: int = 7) -> DataFrame:
-    """a, b (a < b), each linked pair of different vectors once.
+def links(docs: DataFrame, threshold: float = 0.98, window: int = WINDOW, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, members, classes): a, b (a < b), each linked pair of classes once, by their representatives; id and key of
+    each usable vector; key, rep (the least id) and size of each class.
+
+    Vectors of one label with equal directions are a class, of which only the representative is compared.
 
     In each pass the vectors of a label lie in the order of their random sign bits and are cut into windows of
     ``window``; a window is compared with itself and the next one, and with every later window that a run of
@@ -66,7 +71,9 @@ def links(docs: DataFrame, threshold: float = 0.98, window: int = WINDOW, seed:
     rows = _usable(docs).dropDuplicates(["id"])
     largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, passes = schedule(largest, threshold, window)
-    vecs = materialize(_signatures(rows, passes, seed), "signatures")
+    signed = materialize(_signatures(rows, passes, seed), "signatures")
+    classes = materialize(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "vector-classes")
+    vecs = materialize(signed.drop("key").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "class-signatures")
     flat = vecs.select("id", "label", "dim", F.posexplode("sigs").alias("pass", "sig"))
     groups = ["pass", "label", "dim"]
     # order-preserving pieces: the leading bits of the order
@@ -110,7 +117,7 @@ def links(docs: DataFrame, threshold: float = 0.98, window: int = WINDOW, seed:
         a, b = ids[x[ok]], ids[y[ok]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return todo.groupBy(*groups, "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return todo.groupBy(*groups, "i", "j").applyInPandas(run, "a bigint, b bigint"), signed.select("id", "key"), classes
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -120,10 +127,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.98) -> DataFrame:
     id, have no links. Vectors of different lengths aren't compared. Rows that repeat a vec_id are one vector
     (one of them is used). Other columns are ignored; an empty table gives no rows.
     """
-    pairs = materialize(links(docs, threshold), "vector-links")
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    comp = connected(pairs).join(degree, "node")
+    pairs, members, classes = links(docs, threshold)
+    pairs = materialize(pairs, "vector-links")
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("rep")).union(pairs.select("b", "a"))
+    degree = ends.join(classes, "rep").groupBy("node").agg(F.sum("size").alias("n"))
+    found = connected(pairs).join(degree, "node")
+    info = classes.join(found, F.col("rep") == F.col("node"), "left")
+    info = info.select("key", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+    own = members.join(info, "key").select("id", "n", "component")
     ids = docs.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
-    out = ids.join(comp, F.col("vec_id") == F.col("node"), "left")
+    out = ids.join(own, F.col("vec_id") == F.col("id"), "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
