@@ -244,6 +244,75 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Foo Research Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This {w} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {k}General Public License
+as published by the Free Software Foundation; either version {v}
+of the License, or (at your option) any later version.
+
+This {w} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_licenses_as_published(spark):
+    texts = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (ISC, "ISC"), (BSD3, "BSD-3-Clause"), (BSD3[: BSD3.index("3. N")], "BSD-2-Clause")]
+    kinds = [("program", "", "2", "GPL-2.0"), ("program", "", "3", "GPL-3.0"), ("library", "Lesser ", "2.1", "LGPL-2.1"), ("library", "Lesser ", "3", "LGPL-3.0"), ("program", "Affero ", "3", "AGPL-3.0")]
+    texts += [(GPL.format(w=w, k=k, v=v), name) for w, k, v, name in kinds]
+    texts += [("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", "GPL-2.0"), ("This project is licensed under the terms of the\nMIT license.", "MIT"), ("// SPDX-License-Identifier: LGPL-2.1-or-later\n", "LGPL-2.1")]
+    forms = [lambda t: t, lambda t: "Copyright 2020 Foo Authors\n\n" + t, lambda t: "Copyright (c) 2020 Jane Doe\n" + t, lambda t: "".join(f" * {x}\n" for x in ("Copyright 2020 Foo", "", *t.splitlines())), lambda t: "Copyright 2020 Foo\r\n\r\n" + t.replace("\n", "\r\n"), lambda t: "Words before.\n\n" + " ".join(t.split())]
+    rows, want = [], {}
+    for t, name in texts:
+        for form in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), form(t)))
+    for t in (MIT[:-60], APACHE[:-250], "This program is free software; buy it.", "It was not released under the MIT License.", "a licence under the\nMIT license or not"):
+        want[len(rows)] = ""
+        rows.append((len(rows), t))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {i: (got[i], n, rows[i][1]) for i, n in want.items() if got[i] != n} == {}
+
+
 # 5 language ID
 
 
