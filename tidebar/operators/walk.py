@@ -26,6 +26,25 @@ def fold_frame(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(rows, "fold int, tr_lo bigint, tr_hi bigint, te_lo bigint, te_hi bigint")
 
 
+def fold_windows(bars: DataFrame, train: int, test: int, max_bars: int, max_folds: int | None = None, anchored: bool = False) -> DataFrame:
+    """symbol and its folds() as rows, over as many bars as the symbol has; a symbol too short for any has no row."""
+    embargo = max_bars + 1
+    n = bars.groupBy("symbol").agg((F.max("bar_idx") + 1).cast("long").alias("__n"))
+    at = F.when(F.col("__n") >= train + embargo + test, F.sequence(F.lit(train + embargo).cast("long"), F.col("__n") - test, F.lit(test).cast("long")))
+    lo = lambda x: F.lit(0).cast("long") if anchored else F.greatest(F.lit(0).cast("long"), x - embargo - train)
+    at = F.filter(at, lambda x: x - embargo - lo(x) >= max(200, train // 4))
+    if max_folds:
+        at = F.slice(at, F.greatest(F.lit(1), F.size(at) - max_folds + 1), F.lit(max_folds))
+    x = F.col("te_lo")
+    return n.select("symbol", F.posexplode(at).alias("fold", "te_lo")).select("symbol", "fold", lo(x).alias("tr_lo"), (x - embargo).alias("tr_hi"), "te_lo", (x + test).alias("te_hi"))
+
+
+def in_windows(bars: DataFrame, windows: DataFrame) -> DataFrame:
+    """Bars of the test windows of their symbol (a table as of fold_windows) with their fold."""
+    w = windows.select(F.col("symbol").alias("__s"), "fold", F.explode(F.sequence("te_lo", F.col("te_hi") - 1)).alias("__i"))
+    return bars.join(w, F.col("symbol").eqNullSafe(F.col("__s")) & (F.col("bar_idx") == F.col("__i"))).drop("__s", "__i")
+
+
 def holdout_cut(bars: DataFrame, months: int) -> DataFrame:
     """symbol, cut_ts, cut_idx: the first bar at or after the last timestamp less ``months`` calendar months."""
     last = bars.groupBy("symbol").agg(F.max("ts").alias("__last")).select(F.col("symbol").alias("__s"), (F.col("__last") - F.make_ym_interval(F.lit(0), F.lit(months))).alias("cut_ts"))

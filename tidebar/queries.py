@@ -14,7 +14,9 @@ from .operators import bars as B
 from .operators import features, labels, metrics, registry, walk
 
 LABEL = {"tp": 2.0, "sl": 1.0, "max_bars": 12, "cost": 0.05}
-FOLDS = walk.folds(600, 200, 60, LABEL["max_bars"])
+TRAIN, TEST = 200, 60
+#: The folds of a series of 600 bars: all that the SQL knows. The queries take those of each symbol's own length.
+FOLDS = walk.folds(600, TRAIN, TEST, LABEL["max_bars"])
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -114,9 +116,7 @@ def label_triple_barrier(spark, sf):
 
 
 def folds_walk_forward(spark, sf):
-    f = walk.fold_frame(spark, FOLDS)
-    n = hourly(spark, sf).groupBy("symbol").agg(F.max("bar_idx").alias("last"))
-    return n.join(F.broadcast(f), F.col("te_lo") <= F.col("last")).select("symbol", big("fold", "fold"), "tr_lo", "tr_hi", "te_lo", "te_hi")
+    return walk.fold_windows(hourly(spark, sf), TRAIN, TEST, LABEL["max_bars"]).select("symbol", big("fold", "fold"), "tr_lo", "tr_hi", "te_lo", "te_hi")
 
 
 def filter_static_mask(spark, sf):
@@ -126,7 +126,7 @@ def filter_static_mask(spark, sf):
 
 def traded(spark, sf) -> DataFrame:
     df = walk.momentum_signal(labelled(spark, sf)).withColumn("direction", walk.signal(0.6, 0.6, 0.1))
-    return walk.one_position(walk.candidates(walk.in_test(df, FOLDS)), ["symbol", "fold"])
+    return walk.one_position(walk.candidates(walk.in_windows(df, walk.fold_windows(hourly(spark, sf), TRAIN, TEST, LABEL["max_bars"]))), ["symbol", "fold"])
 
 
 def trades_one_position(spark, sf):
