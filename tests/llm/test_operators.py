@@ -401,6 +401,22 @@ def test_near_duplicates(spark, which, monkeypatch):
     same(minhash.near_duplicates(frame(spark, rows), 4, 80), ["doc_id", "n_shingles", "component_id", "kept"], near_expected(rows, 4))
 
 
+def test_keep_one_and_repeats(spark):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    text = lambda n: " ".join(f"w{n}x{i * 37 % 101}" for i in range(80))
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (3, text(2) + " end"), (None, text(3)), (None, text(3)), (4, text(4)), (5, text(4)), (5, text(5)), (None, text(6)), (7, text(6)), (None, text(7)), (8, None), (8, None), (9, " \n"), (10, " \n")]
+    want = [(1, text(1)), (2, text(2)), (None, text(3)), (4, text(4)), (5, text(5)), (7, text(6)), (None, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    same(kept, ["doc_id", "text"], want + rows[12:])
+    same(corpus_pipeline.repeated_passages(spark, corpus_pipeline.near_duplicates(spark, docs, ""), ""), ["doc_id", "text"], want + rows[14:])
+    assert minhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(3)
     both = rng.integers(0, 2**64, 4000, dtype=np.uint64)

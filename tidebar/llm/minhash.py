@@ -252,6 +252,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, star_rounds:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group of near-duplicates, all columns."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stay: one of each group of near-duplicates, all columns.
+
+    Each row is a document of its own, whatever its doc_id: of rows that repeat, and of copies without an id,
+    one stays, and a unique text isn't dropped for another row of its doc_id. The row of the least doc_id stays
+    (null last, then by text). Rows without words or text are all kept.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
+    comp = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("__row").alias("row"))
+    first = rows.select("__row", order.alias("o")).join(comp, "__row").groupBy("component_id").agg(F.min("o").alias("o"))
+    return rows.join(first.select(F.col("o.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
