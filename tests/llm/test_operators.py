@@ -392,10 +392,12 @@ def variants(n, words=120, change=9, seed=0):
     return out
 
 
-@pytest.mark.parametrize("which", ["odd", "sf", "empty", "group"])
-def test_near_duplicates(spark, which, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 16)
-    rows = {"odd": ODD, "empty": [], "group": variants(90) + [(5000 + i, "tiny text of five words " + "xyz"[i % 3]) for i in range(9)]}.get(which)
+@pytest.mark.parametrize("which,progress", [("odd", 0.02), ("sf", 0.02), ("empty", 0.02), ("group", 0.02), ("group", 2.0), ("loose", 2.0)])
+def test_near_duplicates(spark, which, progress, monkeypatch):
+    """Small limits, so that hubs have several tasks and families several blocks; progress 2 leaves all but one round to the families."""
+    for name, value in {"BLOCK_BYTES": 30_000, "SMALL": 3, "FOLLOWERS": 8, "PROGRESS": progress}.items():
+        monkeypatch.setattr(minhash, name, value)
+    rows = {"loose": variants(120, 90, 16, 4), "odd": ODD, "empty": [], "group": variants(90) + [(5000 + i, "tiny text of five words " + "xyz"[i % 3]) for i in range(9)]}.get(which)
     if rows is None:
         rows = [tuple(r) for r in table(spark).select("doc_id", "text").collect()]
     same(minhash.near_duplicates(frame(spark, rows), 4, 80), ["doc_id", "n_shingles", "component_id", "kept"], near_expected(rows, 4))

@@ -19,10 +19,18 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own in local mode (tests).
+
+    On a cluster there is no such folder to invent, so an unset one is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (set_by_call := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        found = set_by_call.get()
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tidebar-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -50,7 +58,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with _shuffles_cleaned(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote; for those that nothing reads any more, now or after a lost executor."""
+    for t in tables:
+        if path := getattr(t, "_path", None):
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def ranked(df: DataFrame, groups: list[str], sub: Column, order: list, out: str) -> DataFrame:

@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node reachable) for every node of an undirected edge table of longs.
 
     Each round is two aggregations and two joins over the edges, written to the shared folder;
-    the number of rounds grows with the logarithm of the longest path. Nothing but two sums
-    reaches the driver. Null ends and loops are ignored.
+    the number of rounds grows with the logarithm of the longest path. The least neighbours are
+    written before they are joined, so that both sides of a join are plain shuffles and a node with
+    very many edges is split over tasks. Nothing but two sums reaches the driver. Null ends and loops
+    are ignored. Tables of earlier rounds are deleted; ``discard`` deletes the result's.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok")).where("ok and u != v").select("u", "v").distinct()
     e, before = materialize(e, "edges"), None
     while True:
         row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == before or not row[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out._path = e._path
+            return out
         before = (row[0], row[1])
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(e, least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(large, least)

@@ -7,18 +7,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WORD_CLASS, discard, materialize
 from .components import connected
 
 #: Buckets, registers of a band, mantissa bits of a register. 40 bands of 5 miss a pair at similarity 0.8 with probability 1.3e-7.
 BUCKETS, BAND, MANTISSA = 200, 5, 9
 #: Sets smaller than this aren't judged by estimate; larger ones are verified if the estimate is within MARGIN below the threshold (over six deviations).
 MIN_ESTIMATED, MARGIN = 64, 0.25
-#: Members of a bucket compared at once, and members up to which a bucket's pairs are joined as rows.
-BLOCK, SMALL = 512, 32
+#: Members up to which an open bucket's pairs become rows, bytes of sets and registers in a block of a family, followers of a hub in one task.
+SMALL, BLOCK_BYTES, FOLLOWERS = 8, 4 << 20, 2048
+#: Hub rounds go on while a round links at least this share of the nodes that are still open.
+PROGRESS = 0.02
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
+#: The place of each bucket in the order in which an empty bucket looks for a filled one.
+_TURN = np.random.default_rng(11).permuted(np.tile(np.arange(BUCKETS, dtype=np.int16), (BUCKETS, 1)), axis=1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * _MIX[1]
@@ -47,7 +53,8 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 def registers(hashes: np.ndarray) -> np.ndarray:
     """BUCKETS 16-bit registers of a sorted set: the leading-zero count and MANTISSA bits of the least value in each bucket.
 
-    An empty bucket takes the register of the next filled one.
+    An empty bucket takes the register of the filled bucket that comes first in an order of its own, so the
+    registers of a small set are drawn independently and agree with those of another with the sets' similarity.
     """
     bucket = ((hashes >> np.uint64(32)) * np.uint64(BUCKETS)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -57,17 +64,11 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     short = (short & ((1 << MANTISSA) - 1)) | (((1023 + 64 - (short >> MANTISSA)) & 0x7F) << MANTISSA)
     out = np.full(BUCKETS, -1, dtype=np.int64)
     out[bucket[first].astype(np.int64)] = short
-    filled = np.flatnonzero(out >= 0)
-    nxt = filled[np.searchsorted(filled, np.arange(BUCKETS)) % len(filled)]
-    return out[nxt].astype(np.uint16)
-
-
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    bands = regs.reshape(-1, BAND).astype(np.uint64)
-    h = np.arange(len(bands), dtype=np.uint64)
-    for i in range(BAND):
-        h = _mix(h * _MIX[0] + bands[:, i] + np.uint64(1))
-    return h.view(np.int64)
+    empty = np.flatnonzero(out < 0)
+    if len(empty):
+        filled = np.flatnonzero(out >= 0)
+        out[empty] = out[filled[_TURN[empty[:, None], filled].argmin(axis=1)]]
+    return out.astype(np.uint16)
 
 
 def collision_rate() -> float:
@@ -81,174 +82,282 @@ def estimate(matches: np.ndarray) -> np.ndarray:
     return (matches / BUCKETS - c) / (1 - c)
 
 
+def set_key(s: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two 64-bit keys of the text, which find a row's text again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("tk"))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit key of the set), regs, bands of each row with a nonempty set, and of the others with nulls."""
+    """doc_id, th, tk, n_shingles, set_key (128-bit key of the set) and regs of each row; the last two are null for empty sets."""
 
     def run(batches):
-        import xxhash
-
         for b in batches:
-            n, keys, regs, bands = [], [], [], []
-            for text in b.column(1).to_pylist():
+            n, keys, regs = [], [], []
+            for text in b.column("text").to_pylist():
                 s = shingle_set(text, k)
                 n.append(len(s))
-                if len(s):
-                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    r = registers(s)
-                    regs.append(r.tobytes())
-                    bands.append(band_keys(r))
-                else:
-                    keys.append(None)
-                    regs.append(None)
-                    bands.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "regs", "bands"])
+                keys.append(set_key(s) if len(s) else None)
+                regs.append(registers(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "th", "tk")), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "th", "tk", "n_shingles", "set_key", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, regs binary, bands array<bigint>")
+    return _identified(docs).mapInArrow(run, "doc_id bigint, th bigint, tk bigint, n_shingles bigint, set_key binary, regs binary")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity; texts of a repeated doc_id are each tried."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(ids, F.col("__doc") == F.col("__id"), "left_semi")
+def _candidates(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """cid, n, regs, s (the whole set) of the classes in ``ids``, from the texts of their first rows; a cid may come more than once."""
+    want = classes.join(ids, "cid", "left_semi").select("cid", "set_key", "regs", *(F.col(c).alias(f"__{c}") for c in ("doc_id", "th", "tk")))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th") == F.col("__th")) & (F.col("tk") == F.col("__tk"))
+    own = _identified(docs).join(want, same).select("cid", "set_key", "regs", "text")
 
     def build(batches):
+        seen: set[int] = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "s"])
-
-    sets = materialize(own.mapInArrow(build, "id bigint, s binary"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-
-    def check(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)) or not len(x):
-                    ok.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct()
-
-
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """members with comp: the least representative known to be connected."""
-    if links is None:
-        return members.withColumn("comp", F.col("id"))
-    c = connected(links).select(F.col("node").alias("id"), F.col("component").alias("__c"))
-    return members.join(c, "id", "left").withColumn("comp", F.coalesce("__c", "id")).drop("__c")
-
-
-def _open_buckets(members: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component, with the bucket's size, least member and its component."""
-    size = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "comp")).alias("low"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
-    return members.join(size.select("band", "key", "size", F.col("low.id").alias("hub"), F.col("low.comp").alias("hub_comp")), ["band", "key"])
-
-
-def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes and corrected estimate allow a link."""
-    own = sketch.select("id", "n_shingles", "regs")
-    df = pairs.join(own.toDF("a", "na", "ra"), "a").join(own.toDF("b", "nb", "rb"), "b").where(f"na * 100 >= {percent} * nb and nb * 100 >= {percent} * na")
-    least = percent / 100 - MARGIN
+            rows = []
+            for cid, key, regs, text in zip(*(b.column(c) for c in ("cid", "set_key", "regs", "text")), strict=True):
+                cid = cid.as_py()
+                if cid not in seen:
+                    s = shingle_set(text.as_py(), k)
+                    if set_key(s) == key.as_py():
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(cid)
+                        rows.append((cid, len(s), regs.as_py(), s.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["cid", "n", "regs", "s"])
+
+    return own.mapInArrow(build, "cid bigint, n bigint, regs binary, s binary")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted whole sets reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) * 100 < percent * len(y):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _likely(rx: np.ndarray, ry: np.ndarray, nx, ny, percent: int) -> np.ndarray:
+    """Which rows of ry the sizes and corrected estimates allow to be linked with rx."""
+    ok = (nx * 100 >= percent * ny) & (ny * 100 >= percent * nx)
+    return ok & ((estimate((ry == rx).sum(axis=-1)) >= percent / 100 - MARGIN) | (np.minimum(nx, ny) < MIN_ESTIMATED))
+
+
+def verify(pairs: DataFrame, cands: DataFrame, percent: int) -> DataFrame:
+    """ca, cb of the pairs (a, b, ca, cb) that an estimate allows and whole sets confirm.
+
+    The pairs lie sorted by a (a hub with many followers is dealt over several tasks), so a's set is sent once
+    for FOLLOWERS of them, and b's once a pair.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("parts"))
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    many = parts.where("parts > 1").withColumnRenamed("a", "__a")
+    rows = pairs.join(many, F.col("a") == F.col("__a"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int"))
+    cols = ["a", "part", "b", "ca", "cb", "n", "regs", "s"]
+    rows = rows.join(cands, F.col("b") == F.col("cid")).select(*cols)
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("b", "ca", "cb")]
+    hubs = hubs.join(cands, F.col("a") == F.col("cid")).select("a", "part", *none, "n", "regs", "s")
+    dealt = hubs.union(rows).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
-            small = np.minimum(b.column("na").to_numpy(), b.column("nb").to_numpy()) < MIN_ESTIMATED
-            keep = pa.array((estimate((x == y).sum(axis=1)) >= least) | small)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
-
-    return df.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint").distinct()
+        hub, n, regs, s = None, 0, None, None
+        for batch in batches:
+            out = []
+            for r in zip(*(batch.column(c) for c in cols), strict=True):
+                a, _, b, ca, cb, m = (x.as_py() for x in r[:6])
+                if b is None:
+                    hub, n, regs, s = a, m, np.frombuffer(r[6].as_py(), np.uint16), np.frombuffer(r[7].as_py(), np.uint64)
+                elif a == hub and _likely(regs, np.frombuffer(r[6].as_py(), np.uint16), n, m, percent) and linked(s, np.frombuffer(r[7].as_py(), np.uint64), percent):
+                    out.append((ca, cb))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["ca", "cb"])
+
+    return dealt.mapInArrow(run, "ca bigint, cb bigint").distinct()
+
+
+def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """a, b, ca, cb: each member b of a bucket with several components against the bucket's hub a, the member first in the turn's order."""
+    rank = F.xxhash64("cid", F.lit(turn))
+    hubs = members.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "cid", "comp")).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+    hubs = hubs.select(F.col("key").alias("__key"), F.col("hub.cid").alias("a"), F.col("hub.comp").alias("ca"))
+    pairs = members.join(hubs, F.col("key") == F.col("__key")).where("comp != ca").select("a", F.col("cid").alias("b"), "ca", F.col("comp").alias("cb"))
+    if turn:
+        return pairs.distinct()
+    # at first, only the hub that comes first in the order: most copies of a group share it
+    best = pairs.groupBy("b", "cb").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), "a", "ca")).alias("x"))
+    return best.select("x.a", "b", "x.ca", "cb")
+
+
+def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components, with their components after ``links`` between components."""
+    new = connected(links, "ca", "cb")
+    m = members.join(new, F.col("comp") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "comp").alias("comp"))
+    m = materialize(m, "relabelled")
+    still = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
+    still = materialize(still, "open-keys")
+    out = materialize(m.join(still, "key"), "open-buckets")
+    discard(m, still, members, new)
+    return out
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
-    """Every pair of different components in the buckets of at most SMALL members."""
-    m = members.where(F.col("size") <= SMALL)
-    x, y = m.select("band", "key", F.col("id").alias("a"), F.col("comp").alias("ca")), m.select("band", "key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    return x.join(y, ["band", "key"]).where("a < b and ca != cb").select("a", "b").distinct()
+    """Every pair of different components in the buckets of at most SMALL members, once."""
+    few = members.groupBy("key").agg(F.collect_list(F.struct("cid", "comp")).alias("m"))
+    x = few.select("m", F.explode("m").alias("x"))
+    others = F.filter("m", lambda y: (y["cid"] < F.col("x.cid")) & (y["comp"] != F.col("x.comp")))
+    return x.select("x", F.explode(others).alias("y")).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b"), F.col("y.comp").alias("ca"), F.col("x.comp").alias("cb")).distinct()
 
 
-def _block_pairs(members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b) of different components in a bucket whose estimate allows a link, once: from the first band they share.
+def _family_links(members: DataFrame, cands: DataFrame, percent: int) -> DataFrame:
+    """Links (ca, cb) between components that meet in larger buckets, found and confirmed block against block.
 
-    A bucket over BLOCK members is compared block against block, in as many groups as there are pairs of blocks.
+    Buckets that share members are a family. Its largest component is held against the others only, and these
+    against each other, in blocks of about BLOCK_BYTES; a task compares members that share a band and skips pairs
+    that it has connected already, so it returns fewer links than it has members.
     """
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = members.withColumn("blk", F.pmod(F.xxhash64("id"), nb).cast("int"))
-    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), nb - 1)))
-    m = m.select("band", "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id", "comp")
-    m = m.join(sketch.select("id", "n_shingles", "regs"), "id")
-    least = percent / 100 - MARGIN
+    low = members.groupBy("key").agg(F.min("cid").alias("first"))
+    family = connected(members.join(low, "key").select(F.col("cid").alias("a"), F.col("first").alias("b")))
+    own = members.select("cid", "comp").distinct().join(family, F.col("cid") == F.col("node")).select(F.col("component").alias("family"), "cid", "comp")
+    own = own.join(cands.select("cid", "n").distinct(), "cid").withColumn("w", F.lit(500) + 8 * F.col("n"))
+    own = materialize(own, "families")
+    discard(family)
+    parts = own.groupBy("family", "comp").agg(F.sum("w").alias("w"))
+    parts = parts.groupBy("family").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"), F.max("w").alias("most"), F.sum("w").alias("all"))
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / BLOCK_BYTES)).cast("int")
+    parts = parts.select(F.col("family").alias("__f"), "main", blocks(F.col("most")).alias("ng"), blocks(F.col("all") - F.col("most")).alias("no"))
+    rows = own.join(parts, F.col("family") == F.col("__f")).withColumn("in_main", F.col("comp") == F.col("main"))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), F.when(F.col("in_main"), F.col("ng")).otherwise(F.col("no"))).cast("int"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    blk = F.col("blk")
+    tasks = F.when(F.col("in_main"), F.transform(to("no"), lambda o: task(0, blk, o))).otherwise(
+        F.concat(F.transform(to("ng"), lambda g: task(0, g, blk)), F.transform(to("no"), lambda o: task(1, F.least(o, blk), F.greatest(o, blk))))
+    )
+    rows = rows.select("family", "cid", "comp", "in_main", "blk", F.explode(tasks).alias("t")).select("family", "cid", "comp", "in_main", "blk", "t.*")
+    rows = rows.join(cands, "cid")
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates(["id", "regs"])
-        r = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), BUCKETS)
-        ids, comp, n, blk = (pdf[c].to_numpy() for c in ("id", "comp", "n_shingles", "blk"))
-        band, i, j = int(pdf["band"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        out_a, out_b = [], []
-        for x in range(len(ids)):
-            ok = (comp != comp[x]) & (ids > ids[x]) & (n * 100 >= percent * n[x]) & (n[x] * 100 >= percent * n)
-            if i != j:
-                ok &= blk != blk[x]
-            y = np.flatnonzero(ok)
-            if not len(y):
+        pdf = pdf.drop_duplicates("cid")
+        kind, i, j = (int(pdf[c].iloc[0]) for c in ("kind", "i", "j"))
+        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), BUCKETS)
+        comp, n, blk, in_main = (pdf[c].to_numpy() for c in ("comp", "n", "blk", "in_main"))
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        if kind == 0:
+            left, right = np.flatnonzero(~in_main), np.flatnonzero(in_main)
+        elif i != j:
+            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        else:
+            left = right = np.arange(len(pdf))
+        root, out = {int(c): int(c) for c in comp}, []
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for x in left.tolist():
+            ys = right[right > x] if kind and i == j else right
+            if not len(ys):
                 continue
-            same = r[y] == r[x]
-            y_ok = (estimate(same.sum(axis=1)) >= least) | (np.minimum(n[y], n[x]) < MIN_ESTIMATED)
-            if band:
-                y_ok &= ~same[:, : band * BAND].reshape(len(y), band, BAND).all(axis=2).any(axis=1)
-            y = y[y_ok]
-            out_a.append(np.full(len(y), ids[x]))
-            out_b.append(ids[y])
-        cat = lambda v: np.concatenate(v) if v else np.empty(0, np.int64)
-        return pd.DataFrame({"a": cat(out_a), "b": cat(out_b)})
-
-    return m.groupBy("band", "key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+            same = regs[ys] == regs[x]
+            ok = (comp[ys] != comp[x]) & same.reshape(len(ys), -1, BAND).all(axis=2).any(axis=1)
+            ys = ys[ok & _likely(regs[x], regs[ys], n[x], n[ys], percent)]
+            for y in ys.tolist():
+                cx, cy = find(int(comp[x])), find(int(comp[y]))
+                if cx != cy and linked(sets[x], sets[y], percent):
+                    root[max(cx, cy)] = min(cx, cy)
+                    out.append((int(comp[x]), int(comp[y])))
+        return pd.DataFrame(out, columns=["ca", "cb"], dtype="int64")
+
+    found = materialize(rows.groupBy("family", "kind", "i", "j").applyInPandas(run, "ca bigint, cb bigint").distinct(), "links")
+    discard(own)
+    return found
+
+
+def set_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> list[DataFrame]:
+    """Tables of links (ca, cb) that connect all classes (cid, set_key, regs, doc_id, th, tk) with linked sets.
+
+    Classes that share a band's registers are a bucket. In each round, members of buckets with several components
+    are held against one hub a bucket, in another order each time, and what is linked becomes one component; large
+    groups of copies are joined by a few comparisons a member. When rounds find little more, every pair of different
+    components that a bucket holds is compared, so no link that banding finds is missed.
+    """
+    width = 2 * BAND
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), lambda b: F.xxhash64(b, F.substring("regs", b * width + 1, F.lit(width))))
+    members = classes.select("cid", F.explode(keys).alias("key"))
+    shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
+    members = materialize(members.join(shared, "key").select("key", "cid", F.col("cid").alias("comp")), "bucket-members")
+    discard(shared)
+    cands = materialize(_candidates(docs, classes, members.select("cid").distinct(), k), "candidates")
+    found, turn = [], 0
+    while True:
+        pairs = materialize(_hub_pairs(members, turn), "hub-pairs")
+        links = materialize(verify(pairs, cands, percent), "links")
+        discard(pairs)
+        found.append(links)
+        n, turn = links.count(), turn + 1
+        if n:
+            members = _relabelled(members, links)
+        if n <= PROGRESS * members.select("cid").distinct().count():
+            break
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
+    size = materialize(size.select("key", "size"), "bucket-sizes")
+    rest = materialize(members.join(size, "key"), "open-buckets")
+    discard(size, members)
+    pairs = materialize(_small_pairs(rest.where(F.col("size") <= SMALL).select("key", "cid", "comp")), "small-pairs")
+    found.append(materialize(verify(pairs, cands, percent), "links"))
+    large = rest.where(F.col("size") > SMALL).select("key", "cid", "comp")
+    if not large.isEmpty():
+        found.append(_family_links(large, cands, percent))
+    discard(rest, pairs, cands)
+    return found
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """cid, set_key, regs and the first row (doc_id, th, tk) of each class of equal sets; null ids come last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "tk")).alias("x")
+    c = rows.where("set_key is not null").groupBy("set_key").agg(first, F.first("regs").alias("regs"))
+    return materialize(c.select(F.monotonically_increasing_id().alias("cid"), "set_key", "regs", "x.doc_id", "x.th", "x.tk"), "set-classes")
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
-    Equal sets count as one node (its least doc_id). First each node is held against the least member of its
-    buckets, twice over; then every pair of a bucket that isn't connected yet is compared, in blocks, so no
-    link that banding finds can be missed, yet large groups of copies cost one comparison a member. Links are
-    confirmed on whole sets. Rows without words or text are linked with nothing and are kept. Rows with one
+    Equal sets (by a 128-bit key) are one class, and classes are linked by set_links. Sets are of 64-bit hashes of
+    shingles: for two sets of together n shingles some two collide with a chance of n**2 / 2**65, 1e-11 for 20,000.
+    Rows without words or text are linked with nothing and are kept. Rows with one
     doc_id are one document: their links are pooled. A null doc_id has a null component and is kept. Other columns
     are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     sketch = materialize(sketches(docs, k), "sketches")
-    reps = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    reps = materialize(reps, "set-reps")
-    own = sketch.where("doc_id is not null").join(reps, "set_key").where("doc_id = id").select("id", "n_shingles", "regs", "bands")
-    own = materialize(own.dropDuplicates(["id", "regs"]), "rep-sketches")
-    members = own.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    members = materialize(members.join(shared, ["band", "key"]), "bucket-members")
-    links = None
-    for _ in range(star_rounds):
-        open_ = _open_buckets(_labelled(members, links)).where("comp != hub_comp")
-        pairs = materialize(open_.groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "star-pairs")
-        found = verify(materialize(_estimated(pairs, own, percent), "likely-pairs"), docs, k, percent)
-        links = materialize(found if links is None else links.union(found), "links")
-    rest = _open_buckets(_labelled(members, links)).select("band", "key", "size", "id", "comp")
-    rest = materialize(rest, "open-buckets")
-    pairs = _estimated(_small_pairs(rest), own, percent).union(_block_pairs(rest.where(F.col("size") > SMALL), own, percent))
-    pairs = materialize(pairs.distinct(), "block-pairs")
-    links = materialize(links.union(verify(pairs, docs, k, percent)), "links")
-    # other rows of a doc_id that stands for several sets, or that isn't the least of its set, lead to the representative
-    same = sketch.where("set_key is not null and doc_id is not null").join(reps, "set_key").where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    comp = connected(links.union(same))
-    out = sketch.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("node"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = _classes(sketch.where("doc_id is not null"))
+    found = set_links(docs, classes, k, percent)
+    own = sketch.where("doc_id is not null").join(classes.select("set_key", "cid"), "set_key").select("doc_id", "cid").distinct()
+    own = materialize(own, "documents-of-classes")
+    # a document of several rows connects their classes
+    several = own.groupBy("doc_id").agg(F.min("cid").alias("ca"), F.max("cid").alias("cb")).where("ca != cb")
+    edges = own.join(several.select("doc_id", "ca"), "doc_id").select("ca", F.col("cid").alias("cb"))
+    for links in found:
+        edges = edges.union(links.select("ca", "cb"))
+    comp = connected(edges, "ca", "cb")
+    groups = own.join(comp, F.col("cid") == F.col("node"), "left").select("doc_id", F.coalesce("component", "cid").alias("c"))
+    low = groups.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    low = materialize(groups.join(low, "c").select(F.col("doc_id").alias("__d"), "component_id").distinct(), "component-ids")
+    out = sketch.select("doc_id", "n_shingles").join(low, F.col("doc_id") == F.col("__d"), "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates")
+    discard(sketch, classes, own, low, comp, *found)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -256,10 +365,25 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Each row is a document of its own, whatever its doc_id: of rows that repeat, and of copies without an id,
     one stays, and a unique text isn't dropped for another row of its doc_id. The row of the least doc_id stays
-    (null last, then by text). Rows without words or text are all kept.
+    (null last, then by keys of the text). Rows without words or text are all kept.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
-    comp = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("__row").alias("row"))
-    first = rows.select("__row", order.alias("o")).join(comp, "__row").groupBy("component_id").agg(F.min("o").alias("o"))
-    return rows.join(first.select(F.col("o.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    sketch = materialize(sketches(docs, k), "sketches")
+    classes = _classes(sketch)
+    found = set_links(docs, classes, k, percent)
+    edges = found[0]
+    for links in found[1:]:
+        edges = edges.union(links)
+    comp = connected(edges, "ca", "cb")
+    first = classes.join(comp, F.col("cid") == F.col("node"), "left").groupBy(F.coalesce("component", "cid").alias("c"))
+    first = first.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "tk")).alias("x")).select(*(F.col(f"x.{c}").alias(f"__{c}") for c in ("doc_id", "th", "tk")))
+    same = lambda d: d["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(d["text"]) == F.col("__th")) & (F.xxhash64(F.lit(1), d["text"]) == F.col("__tk"))
+    rows = sketch.where("set_key is not null").groupBy("doc_id", "th", "tk").agg(F.count(F.lit(1)).alias("__n"))
+    stay = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th") == F.col("__th")) & (F.col("tk") == F.col("__tk"))
+    first = materialize(first.join(rows, stay).select("__doc_id", "__th", "__tk", "__n"), "kept-rows")
+    discard(sketch, classes, comp, *found)
+    out = docs.join(first.where("__n = 1"), same(docs), "left").where(F.col("__th").isNotNull() | ~F.coalesce(docs["text"].rlike(WORD_CLASS), F.lit(False))).select(*(docs[c] for c in docs.columns))
+    again = first.where("__n > 1")
+    if again.isEmpty():
+        return out
+    twice = docs.join(again, same(docs), "left_semi").withColumns({"__th": F.xxhash64("text"), "__tk": F.xxhash64(F.lit(1), "text")})
+    return out.union(twice.dropDuplicates(["doc_id", "__th", "__tk"]).select(*docs.columns))
