@@ -480,6 +480,7 @@ def removed_expected(rows, length):
 @pytest.mark.parametrize("which,block", [("odd", 512), ("sf", 512), ("empty", 512), ("hot", 4), ("hot", 512)])
 def test_repeated_passages(spark, which, block, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK", block)
+    monkeypatch.setattr(suffix, "DEAL", 2)
     rng = np.random.default_rng(2)
     rows = {"odd": ODD, "empty": []}.get(which)
     if which == "hot":

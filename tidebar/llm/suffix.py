@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 LENGTH, GRAM = 200, 32
-#: Bytes handled at once, strings of one anchor compared in one task, strings inserted together, neighbouring windows looked up by the bytes they share.
-PART, BLOCK, TOGETHER, NEAR = 1 << 21, 512, 16_384, 16
+#: Bytes handled at once, strings of one anchor compared in one task, strings inserted together, neighbouring windows looked up by
+#: the bytes they share, and blocks of an anchor for each part into which its windows are dealt.
+PART, BLOCK, TOGETHER, NEAR, DEAL = 1 << 21, 512, 16_384, 16, 64
 _POS_BITS = 22
 _END = 256
 
@@ -116,10 +117,11 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 if len(h):
                     ids = b.column("doc_id").take(pa.array(np.full(len(h), k, np.int32)))
                     th = b.column("th").take(pa.array(np.full(len(h), k, np.int32)))
-                    yield pa.RecordBatch.from_arrays([ids, th, pa.array(h), *(pa.array(x.astype(np.int64)) for x in (p, lo, hi))], ["doc_id", "th", "kh", "p", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([ids, th, pa.array(h), *(pa.array(x.astype(np.int32)) for x in (p, lo, hi))], ["doc_id", "th", "kh", "p", "lo", "hi"])
 
-    found = rows.mapInArrow(lambda it: _merged(find(it)), f"doc_id {id_type}, th bigint, kh bigint, p bigint, lo bigint, hi bigint")
-    again = found.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh")
+    found = materialize(rows.mapInArrow(lambda it: _merged(find(it)), f"doc_id {id_type}, th bigint, kh bigint, p int, lo int, hi int"), "anchors")
+    # written, so that both sides of the join are plain shuffles and a hot anchor is split over tasks
+    again = materialize(found.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh"), "anchors-again")
     spots = found.join(again, "kh").groupBy("doc_id", "th").agg(F.collect_set(F.struct("p", "lo", "hi", "kh")).alias("spots"))
     spots = spots.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "spots")
     own = rows.join(spots, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t"))).select("doc_id", "th", "text", "spots")
@@ -145,7 +147,9 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
             take = pa.array(who, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("th").take(take), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "th", "lo", "hi", "at", "kh", "ctx", "bytes"])
 
-    return own.mapInArrow(cut, f"doc_id {id_type}, th bigint, lo bigint, hi bigint, at bigint, kh bigint, ctx binary, bytes binary")
+    out = materialize(own.mapInArrow(cut, f"doc_id {id_type}, th bigint, lo bigint, hi bigint, at bigint, kh bigint, ctx binary, bytes binary"), "contexts")
+    discard(found, again)
+    return out
 
 
 def _merged(batches, rows: int = 50_000):
@@ -163,10 +167,11 @@ def _merged(batches, rows: int = 50_000):
 
 def _compare(strings: DataFrame, length: int, gram: int) -> DataFrame:
     """strings: kh, block, blocks, ctx, at, hi - lo + 1 as n, bytes. Rows: ctx and bits (its repeated windows), and for anchors
-    of several blocks kh, near, core (a key of the bytes that up to NEAR neighbouring windows share) and their classes in the
-    block: place, wh (128-bit key), ctx and w (the window) if it is alone there. Equal windows have equal cores."""
+    of several blocks kh, near, core (a key of the bytes that up to NEAR neighbouring windows share), part (dealt by the
+    windows' keys where there are very many blocks) and their classes in the block: place, wh (128-bit key), ctx and w
+    (the window) if it is alone there. Equal windows have equal cores and parts."""
     kind = pa.struct([("place", pa.int32()), ("wh", pa.binary()), ("ctx", pa.binary()), ("w", pa.int32())])
-    schema = pa.schema([("ctx", pa.binary()), ("bits", pa.binary()), ("kh", pa.int64()), ("near", pa.int32()), ("core", pa.binary()), ("classes", pa.list_(kind))])
+    schema = pa.schema([("ctx", pa.binary()), ("bits", pa.binary()), ("kh", pa.int64()), ("near", pa.int32()), ("core", pa.binary()), ("part", pa.int32()), ("classes", pa.list_(kind))])
 
     def run(batches):
         held: list[tuple] = []
@@ -191,7 +196,7 @@ def _compare(strings: DataFrame, length: int, gram: int) -> DataFrame:
         at, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
         repeated, leading = repeated_windows([r[6] for r in rows], at, group, n, length, gram)
         hit = np.flatnonzero(repeated.any(axis=1)).tolist()
-        out: list[tuple] = [(rows[i][3], np.packbits(repeated[i]).tobytes(), None, None, None, None) for i in hit]
+        out: list[tuple] = [(rows[i][3], np.packbits(repeated[i]).tobytes(), None, None, None, None, None) for i in hit]
         cores: dict[tuple, list[dict]] = {}
         key = lambda b: hashlib.blake2b(b, digest_size=16).digest()
         for i, r in enumerate(rows):
@@ -200,36 +205,74 @@ def _compare(strings: DataFrame, length: int, gram: int) -> DataFrame:
                     alone, place = not repeated[i, w], w - r[4]
                     near = place // NEAR
                     core = r[6][r[4] + near * NEAR + NEAR - 1 : r[4] + near * NEAR + length]
-                    cores.setdefault((r[0], r[1], near, core), []).append({"place": place, "wh": key(r[6][w : w + length]), "ctx": r[3] if alone else None, "w": w if alone else None})
-        out += [(None, None, kh, near, key(core), classes) for (kh, _, near, core), classes in cores.items()]
+                    wh = key(r[6][w : w + length])
+                    part = int.from_bytes(wh[:4], "little") % -(-r[2] // DEAL)
+                    cores.setdefault((r[0], r[1], near, core, part), []).append({"place": place, "wh": wh, "ctx": r[3] if alone else None, "w": w if alone else None})
+        out += [(None, None, kh, near, key(core), part, classes) for (kh, _, near, core, part), classes in cores.items()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return strings.mapInArrow(run, "ctx binary, bits binary, kh bigint, near int, core binary, classes array<struct<place:int,wh:binary,ctx:binary,w:int>>")
+    return strings.mapInArrow(run, "ctx binary, bits binary, kh bigint, near int, core binary, part int, classes array<struct<place:int,wh:binary,ctx:binary,w:int>>")
+
+
+def _across_blocks(cores: DataFrame) -> DataFrame:
+    """ctx, more: the windows that are alone in their block and occur in another block of the anchor. Rows of one core lie
+    together, one a block; a task reads them in order and holds one core's classes."""
+    at = ["kh", "near", "core", "part"]
+    shared = materialize(cores.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-cores")
+    dealt = cores.join(shared, at).select(*at, "classes").repartition(*at).sortWithinPartitions(*at)
+
+    def run(batches):
+        group, seen = None, {}
+
+        def done():
+            more: dict[bytes, list[int]] = {}
+            for owners in seen.values():
+                if len(owners) > 1:
+                    for ctx, w in owners:
+                        if ctx is not None:
+                            more.setdefault(ctx, []).append(w)
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array(more.keys(), pa.binary()), pa.array(more.values(), pa.list_(pa.int32()))], ["ctx", "more"])
+
+        for b in batches:
+            for kh, near, core, part, classes in zip(*(b.column(c) for c in (*at, "classes")), strict=True):
+                g = (kh.as_py(), near.as_py(), core.as_py(), part.as_py())
+                if g != group:
+                    yield from done()
+                    group, seen = g, {}
+                v = classes.values
+                for place, wh, ctx, w in zip(*(v.field(i).to_pylist() for i in range(4)), strict=True):
+                    seen.setdefault((place, wh), []).append((ctx, w))
+        yield from done()
+
+    found = dealt.mapInArrow(lambda it: _merged(run(it)), "ctx binary, more array<int>")
+    out = materialize(found.groupBy("ctx").agg(F.array_distinct(F.flatten(F.collect_list("more"))).alias("more")), "across-blocks")
+    discard(shared)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows, spots): the documents as doc_id, text, th, and for each doc_id and th the anchors with repeated windows,
     as an array of lo, hi, whole (all of lo to hi), bits (repeated ones of them), more (further ones)."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *dict.fromkeys(["doc_id", *carry])).withColumn("th", F.xxhash64("text"))
-    occ = materialize(_contexts(rows.select("doc_id", "text", "th"), length, gram), "anchors")
+    occ = _contexts(rows.select("doc_id", "text", "th"), length, gram)
     whole = occ.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ctx", F.lit(True).alias("whole"))
     strings = occ.where("bytes is not null")
     blocks = strings.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "anchor-blocks")
     strings = strings.join(blocks, "kh").withColumn("block", F.pmod(F.xxhash64("ctx"), F.col("blocks")).cast("int"))
     strings = strings.select("kh", "block", "blocks", "ctx", "at", (F.col("hi") - F.col("lo") + 1).alias("n"), "bytes")
     strings = strings.repartition("kh", "block").sortWithinPartitions("kh", "block")
     found = materialize(_compare(strings, length, gram), "repeats")
-    cores = found.where("core is not null").select("kh", "near", "core", "classes")
-    shared = cores.groupBy("kh", "near", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    classes = cores.join(shared, ["kh", "near", "core"]).select("kh", F.inline("classes"))
-    twice = classes.groupBy("kh", "place", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    more = classes.where("w is not null").join(twice, ["kh", "place", "wh"]).groupBy("ctx").agg(F.collect_set("w").alias("more"))
+    more = _across_blocks(found.where("core is not null").select("kh", "near", "core", "part", "classes"))
     marks = whole.select("ctx", "whole", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<int>").alias("more"))
     marks = marks.union(found.where("bits is not null").select("ctx", F.lit(None).cast("boolean"), "bits", F.lit(None).cast("array<int>")))
     marks = marks.union(more.select("ctx", F.lit(None).cast("boolean"), F.lit(None).cast("binary"), "more"))
     spots = occ.select("doc_id", "th", "lo", "hi", "ctx").join(marks, "ctx").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "whole", "bits", "more")).alias("spots"))
-    return rows, materialize(spots, "spots")
+    spots = materialize(spots, "spots")
+    discard(occ, blocks, found, more)
+    return rows, spots
 
 
 def _removed(n: int, spots: pa.Scalar, length: int) -> np.ndarray:
