@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_CLASS, discard, materialize
@@ -161,10 +161,9 @@ def verify(pairs: DataFrame, cands: DataFrame, percent: int) -> DataFrame:
     many = parts.where("parts > 1").withColumnRenamed("a", "__a")
     rows = pairs.join(many, F.col("a") == F.col("__a"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int"))
     cols = ["a", "part", "b", "ca", "cb", "n", "regs", "s"]
-    rows = rows.join(cands, F.col("b") == F.col("cid")).select(*cols)
     none = [F.lit(None).cast("bigint").alias(c) for c in ("b", "ca", "cb")]
-    hubs = hubs.join(cands, F.col("a") == F.col("cid")).select("a", "part", *none, "n", "regs", "s")
-    dealt = hubs.union(rows).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    need = hubs.select(F.col("a").alias("cid"), "a", "part", *none).union(rows.select(F.col("b").alias("cid"), "a", "part", "b", "ca", "cb"))
+    dealt = need.join(cands, "cid").select(*cols).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def run(batches):
         hub, n, regs, s = None, 0, None, None
@@ -307,6 +306,9 @@ def set_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> list
         n, turn = links.count(), turn + 1
         if n:
             members = _relabelled(members, links)
+            still = materialize(cands.join(members.select("cid").distinct(), "cid", "left_semi"), "candidates")
+            discard(cands)
+            cands = still
         if n <= PROGRESS * members.select("cid").distinct().count():
             break
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
@@ -322,11 +324,16 @@ def set_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> list
     return found
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """cid, set_key, regs and the first row (doc_id, th, tk) of each class of equal sets; null ids come last."""
+def _sketched(docs: DataFrame, k: int, used: Column) -> tuple[DataFrame, DataFrame]:
+    """The sketches without their registers; and cid, set_key, regs and the first row (doc_id, th, tk; null ids last)
+    of each class of equal sets among the ``used`` rows."""
+    whole = materialize(sketches(docs, k), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "tk")).alias("x")
-    c = rows.where("set_key is not null").groupBy("set_key").agg(first, F.first("regs").alias("regs"))
-    return materialize(c.select(F.monotonically_increasing_id().alias("cid"), "set_key", "regs", "x.doc_id", "x.th", "x.tk"), "set-classes")
+    c = whole.where(used & F.col("set_key").isNotNull()).groupBy("set_key").agg(first, F.first("regs").alias("regs"))
+    classes = materialize(c.select(F.monotonically_increasing_id().alias("cid"), "set_key", "regs", "x.doc_id", "x.th", "x.tk"), "set-classes")
+    rows = materialize(whole.drop("regs"), "sketched-rows")
+    discard(whole)
+    return rows, classes
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -339,8 +346,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    sketch = materialize(sketches(docs, k), "sketches")
-    classes = _classes(sketch.where("doc_id is not null"))
+    sketch, classes = _sketched(docs, k, F.col("doc_id").isNotNull())
     found = set_links(docs, classes, k, percent)
     own = sketch.where("doc_id is not null").join(classes.select("set_key", "cid"), "set_key").select("doc_id", "cid").distinct()
     own = materialize(own, "documents-of-classes")
@@ -367,8 +373,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     one stays, and a unique text isn't dropped for another row of its doc_id. The row of the least doc_id stays
     (null last, then by keys of the text). Rows without words or text are all kept.
     """
-    sketch = materialize(sketches(docs, k), "sketches")
-    classes = _classes(sketch)
+    sketch, classes = _sketched(docs, k, F.lit(True))
     found = set_links(docs, classes, k, percent)
     edges = found[0]
     for links in found[1:]:
