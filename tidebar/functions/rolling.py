@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS, ORDER = ["symbol"], "bar_idx"
 EPS = 1e-12
-#: Rows of a block of the recurrence scan.
-SCAN_BLOCK = 64
+#: Rows of a block of the recurrence scan, and bars of a piece of a series that one task sorts.
+SCAN_BLOCK, PIECE = 64, 1 << 16
 
 
 def col(c: Column | str) -> Column:
@@ -68,13 +68,43 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
-def with_streak(df: DataFrame, change: Column, out: str) -> DataFrame:
-    """Signed length of the current run of equal signs; a run of zeros has 0."""
-    sign = F.coalesce(F.signum(change), F.lit(0.0))
-    df = df.withColumn("__sign", sign)
-    df = df.withColumn("__new", F.coalesce((F.col("__sign") != lag("__sign")).cast("int"), F.lit(1)))
-    df = df.withColumn("__run", F.sum("__new").over(running()))
-    return df.withColumn(out, F.sum("__sign").over(running("__run"))).drop("__sign", "__new", "__run")
+def in_pieces(df: DataFrame, step: Callable[[DataFrame], DataFrame], before: int, after: int = 0, size: int | None = None) -> DataFrame:
+    """``step(df)`` computed on pieces of ``size`` bars of each series, so that a long series spreads over many tasks.
+
+    A piece also gets the ``before`` bars that precede it and the ``after`` bars that follow; ``step`` may look no
+    further in its windows over (symbol, bar_idx). Inside, symbol is a struct of the symbol and the piece.
+    """
+    size = size or PIECE
+    at = lambda x: F.floor(x / size).cast("bigint")
+    piece = F.sequence(at(F.greatest(F.col(ORDER) - after, F.lit(0))), at(F.col(ORDER) + before))
+    df = df.withColumn("__own", at(F.col(ORDER))).withColumn("__piece", F.explode(piece))
+    df = df.withColumn("symbol", F.struct("symbol", "__piece"))
+    # filtered after the windows; pieces past the end of a series hold borrowed bars only and vanish here
+    return step(df).where(F.col("symbol.__piece") == F.col("__own")).withColumn("symbol", F.col("symbol.symbol")).drop("__own", "__piece")
+
+
+def _carried(df: DataFrame, x: Column, out: str, fold, empty, size: int | None) -> DataFrame:
+    """Adds ``out``: fold (F.sum or F.max) of x over all bars so far, piece by piece with one carried row a piece."""
+    df = df.withColumns({"__x": x, "__p": F.floor(F.col(ORDER) / (size or PIECE)).cast("bigint")})
+    inside = Window.partitionBy(*KEYS, "__p").orderBy(ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*KEYS).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = df.groupBy(*KEYS, "__p").agg(fold("__x").alias("__f")).select(*KEYS, "__p", fold("__f").over(earlier).alias("__carry"))
+    df = df.withColumn("__here", fold("__x").over(inside)).join(carry, [*KEYS, "__p"])
+    both = F.greatest("__here", "__carry") if fold is F.max else F.coalesce("__here", F.lit(empty)) + F.coalesce("__carry", F.lit(empty))
+    return df.withColumn(out, both).drop("__x", "__p", "__here", "__carry")
+
+
+def with_running_sum(df: DataFrame, x: Column, out: str, size: int | None = None) -> DataFrame:
+    return _carried(df, x, out, F.sum, 0.0, size)
+
+
+def with_streak(df: DataFrame, change: Column, out: str, size: int | None = None) -> DataFrame:
+    """Signed length of the current run of equal signs of ``change`` (which may look one bar back); a run of zeros has 0."""
+    df = in_pieces(df, lambda d: d.withColumn("__sign", F.coalesce(F.signum(change), F.lit(0.0))), 1, 0, size)
+    df = in_pieces(df, lambda d: d.withColumn("__prev", lag("__sign")), 1, 0, size)
+    begins = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col("__sign")), F.col(ORDER))
+    df = _carried(df, begins, "__begin", F.max, None, size)
+    return df.withColumn(out, F.col("__sign") * (F.col(ORDER) - F.col("__begin") + 1)).drop("__sign", "__prev", "__begin")
 
 
 def scans(df: DataFrame, specs: Mapping[str, tuple[Column | str, float, int, int]]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Minutes of each timeframe name.
-TIMEFRAMES = {"1min": 1, "2min": 2, "3min": 3, "5min": 5, "10min": 10, "15min": 15, "30min": 30, "1h": 60, "2h": 120, "4h": 240, "1d": 1440}
+TIMEFRAMES = {"1min": 1, "2min": 2, "3min": 3, "5min": 5, "10min": 10, "15min": 15, "30min": 30, "60min": 60, "1h": 60, "4h": 240, "1d": 1440}
 PRICES = ["open", "high", "low", "close"]
 
 
@@ -67,8 +67,14 @@ def ticks_to_bars(df: DataFrame, timeframe: str, order: list[str] = ()) -> DataF
 
 
 def indexed(df: DataFrame) -> DataFrame:
-    """bar_idx: the dense 0-based place of a bar in its symbol."""
-    return df.withColumn("bar_idx", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("bigint"))
+    """bar_idx: the dense 0-based place of a bar in its symbol. A task sorts one day of a symbol; the days' counts give each its start."""
+    df = df.withColumn("__day", F.to_date("ts"))
+    before = Window.partitionBy("__s").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    days = df.groupBy(F.col("symbol").alias("__s"), F.col("__day").alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    days = days.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    df = df.withColumn("__rn", F.row_number().over(Window.partitionBy("symbol", "__day").orderBy("ts")))
+    df = df.join(days, F.col("symbol").eqNullSafe(F.col("__s")) & F.col("__day").eqNullSafe(F.col("__d")))
+    return df.withColumn("bar_idx", (F.col("__start") + F.col("__rn") - 1).cast("bigint")).drop("__s", "__d", "__day", "__start", "__rn")
 
 
 def tag_sessions(df: DataFrame) -> DataFrame:

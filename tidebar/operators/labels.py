@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rolling import over
+from ..functions.rolling import in_pieces, over
 
 STOP, TARGET, TIME, NONE = 0, 1, 2, -1
 
@@ -26,7 +26,12 @@ def _side(long: bool, tp: float, sl: float, cost: float) -> tuple[Column, Column
     return F.when(ok, r), F.when(ok, F.coalesce(first["i"], last["i"])).otherwise(-1), F.when(ok, outcome).otherwise(NONE)
 
 
-def triple_barrier(bars: DataFrame, tp: float, sl: float, max_bars: int, cost: float = 0.0, atr: str = "atr") -> DataFrame:
+def triple_barrier(bars: DataFrame, tp: float, sl: float, max_bars: int, cost: float = 0.0, atr: str = "atr", size: int | None = None) -> DataFrame:
+    """The labels of ``_barriers``, computed on pieces of ``size`` bars of a series."""
+    return in_pieces(bars, lambda d: _barriers(d, tp, sl, max_bars, cost, atr), 0, max(1, max_bars), size)
+
+
+def _barriers(bars: DataFrame, tp: float, sl: float, max_bars: int, cost: float, atr: str) -> DataFrame:
     """``bars`` with entry_price, the levels, long_R/short_R, long_exit/short_exit, long_out/short_out, label and valid.
 
     Entry is the next open. Each of the next ``max_bars`` bars (fewer at the end) is held against the stop, then the

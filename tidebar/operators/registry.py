@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "fingerprint string, status string, score double, generation int, origin string, parents array<string>, genome string, metrics string, error string, eval_secs double, at double, seq bigint"
+SCHEMA = "fingerprint string, status string, score double, generation int, origin string, parents array<string>, genome string, metrics string, error string, eval_secs double, token string, at double, seq bigint"
 REJECTED = -1e9
 #: Upper ends of the reward-to-risk bands of a niche.
 BANDS = (1.5, 2.0, 3.0, 4.0)
@@ -42,14 +43,14 @@ class Registry:
         return e.groupBy("fingerprint").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in names if c != "fingerprint"))
 
     def unseen(self, candidates: DataFrame) -> DataFrame:
-        return candidates.dropDuplicates(["fingerprint"]).join(self.events().select("fingerprint").distinct(), "fingerprint", "left_anti")
+        return unseen(candidates, self.events())
 
     def reserve(self, candidates: DataFrame) -> DataFrame:
         """Writes the unseen candidates as pending and returns them."""
         token = uuid.uuid4().hex
         new = self.unseen(candidates)
-        self.append(new.withColumns({"status": F.lit("pending"), "error": F.lit(token)}))
-        return self.events().where(F.col("error") == token)
+        self.append(new.withColumns({"status": F.lit("pending"), "token": F.lit(token)}))
+        return self.events().where(F.col("token") == token)
 
     def complete(self, results: DataFrame) -> None:
         self.append(results.withColumn("status", F.lit("ok")))
@@ -62,11 +63,38 @@ class Registry:
 
     def sweep(self, older_than: float = 3600) -> None:
         stale = self.latest().where((F.col("status") == "pending") & (F.col("at") < time.time() - older_than))
-        self.fail(stale.select("fingerprint", F.lit("stale").alias("error")))
+        self.fail(stale.select("fingerprint", F.lit("abandoned").alias("error")))
 
     def get(self, fingerprint: str) -> DataFrame:
         return self.latest().where(F.col("fingerprint") == fingerprint)
 
+    def start_run(self, config: dict, note: str = "") -> str:
+        """Records a run and its configuration; returns its id."""
+        run = uuid.uuid4().hex
+        row = [(run, time.time(), json.dumps(config, default=str), note)]
+        self.spark.createDataFrame(row, "run_id string, started_at double, config string, note string").write.mode("append").parquet(f"{self.path}_runs")
+        return run
+
+    def runs(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}_runs").orderBy("started_at")
+
+    def set_meta(self, key: str, value: str) -> None:
+        self.spark.createDataFrame([(key, str(value), time.time_ns())], "k string, v string, seq bigint").write.mode("append").parquet(f"{self.path}_meta")
+
+    def get_meta(self, key: str, default: str | None = None) -> str | None:
+        try:
+            row = self.spark.read.parquet(f"{self.path}_meta").where(F.col("k") == key).agg(F.max_by("v", "seq")).first()
+        except Exception as e:  # nothing written yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return default
+        return default if row[0] is None else row[0]
+
+
+def unseen(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates, one a fingerprint, that ``known`` (any table with fingerprint) doesn't hold."""
+    return candidates.dropDuplicates(["fingerprint"]).join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
+
 
 def stats(state: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s).alias(s)

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rolling import lag, over
+from ..functions.rolling import in_pieces, lag, over
 
 
 def folds(n_bars: int, train: int, test: int, max_bars: int, max_folds: int | None = None, anchored: bool = False) -> list[tuple[int, int, int, int, int]]:
-    """(fold, tr_lo, tr_hi, te_lo, te_hi), half-open; an embargo of max_bars + 1 bars lies before each test window."""
-    embargo, at, out = max_bars + 1, 0, []
-    at = train + embargo
-    while at + test <= n_bars:
-        hi = at - embargo
-        lo = 0 if anchored else max(0, hi - train)
-        if hi - lo >= max(200, train // 4):
-            out.append((lo, hi, at, at + test))
-        at += test
-    out = out[-max_folds:] if max_folds else out
-    return [(i, *f) for i, f in enumerate(out)]
+    """(fold, tr_lo, tr_hi, te_lo, te_hi), half-open; an embargo of max_bars + 1 bars lies before each test window.
+
+    Test windows of ``test`` bars follow one another from the first one that a whole training window precedes;
+    those with too little to learn from are left out, and the last ``max_folds`` are kept.
+    """
+    gap, least = max_bars + 1, max(200, train // 4)
+    starts = range(train + gap, n_bars - test + 1, test)
+    windows = [(0 if anchored else max(0, s - gap - train), s - gap, s, s + test) for s in starts]
+    usable = [w for w in windows if w[1] - w[0] >= least]
+    return [(i, *w) for i, w in enumerate(usable[-max_folds:] if max_folds else usable)]
 
 
 def fold_frame(spark: SparkSession, rows) -> DataFrame:
@@ -75,16 +74,15 @@ def trend_aligned(direction: Column) -> Column:
     return F.coalesce(F.signum("ema200_dist") * direction >= 0, F.lit(False))
 
 
-def capacity(masked_bars: int, max_bars: int, min_trades: int) -> bool:
-    """Whether so many admitted test bars can hold enough trades."""
-    return masked_bars / max(0.35 * max_bars, 1) >= min_trades
+def capacity(masked_bars, max_bars: int, min_trades: int):
+    """Whether so many admitted test bars (a number or a column) can hold enough trades."""
+    return masked_bars / max(0.35 * max_bars, 1.0) >= min_trades
 
 
 def momentum_signal(df: DataFrame, k: int = 3) -> DataFrame:
     """p_long and p_short of a plain rule: the logistic of the last k-bar move in ATRs. Stands in for a model in queries."""
     x = F.try_divide(F.col("close") - lag("close", k), F.expr("nullif(atr, 0)"))
-    p = 1 / (1 + F.exp(-x))
-    return df.withColumn("p_long", p).withColumn("p_short", 1 - F.col("p_long"))
+    return in_pieces(df, lambda d: d.withColumn("p_long", 1 / (1 + F.exp(-x))), k).withColumn("p_short", 1 - F.col("p_long"))
 
 
 def signal(long_thr: float, short_thr: float, margin: float, allow_long: bool = True, allow_short: bool = True) -> Column:
@@ -138,7 +136,7 @@ def one_position(cands: DataFrame, keys: list[str], max_per_day: int | None = No
 
 def trade_log(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """The walk's trades with entry and exit times and prices (exit price from the net R)."""
-    entry = bars.withColumn("entry_time", F.lead("ts").over(over())).select("symbol", "bar_idx", "entry_time")
+    entry = in_pieces(bars.select("symbol", "bar_idx", "ts"), lambda d: d.withColumn("entry_time", F.lead("ts").over(over())), 0, 1).select("symbol", "bar_idx", F.coalesce("entry_time", "ts").alias("entry_time"))
     out = bars.select("symbol", F.col("bar_idx").alias("exit_idx"), F.col("ts").alias("exit_time"))
     df = trades.withColumnRenamed("ts", "signal_time").join(entry, ["symbol", "bar_idx"]).join(out, ["symbol", "exit_idx"])
     is_long = F.col("direction") == 1

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from .functions import rolling as R
 from .operators import bars as B
 from .operators import features, labels, metrics, registry, walk
+from .plans import genome as G
 
 LABEL = {"tp": 2.0, "sl": 1.0, "max_bars": 12, "cost": 0.05}
 TRAIN, TEST = 200, 60
-#: The folds of a series of 600 bars: all that the SQL knows. The queries take those of each symbol's own length.
-FOLDS = walk.folds(600, TRAIN, TEST, LABEL["max_bars"])
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -75,8 +74,8 @@ def bars_per_year(spark, sf):
     return B.bars_per_year(hourly(spark, sf)).select("symbol", r6("bars_per_year", "bars_per_year"))
 
 
-def _ind(*names):
-    return lambda spark, sf: features.indicators(hourly(spark, sf)).select("symbol", "bar_idx", *(r6(n, n.strip("_")) for n in names))
+def _ind(group, *names):
+    return lambda spark, sf: features.indicators(hourly(spark, sf), [group]).select("symbol", "bar_idx", *(r6(n, n.strip("_")) for n in names))
 
 
 def ind_sma_bands(spark, sf):
@@ -84,7 +83,7 @@ def ind_sma_bands(spark, sf):
 
 
 def ind_stoch(spark, sf):
-    return hourly(spark, sf).select("symbol", "bar_idx", r6(100 * (F.col("close") - R.low("low", 14)) / (R.high("high", 14) - R.low("low", 14) + R.EPS), "stoch_k"))
+    return hourly(spark, sf).select("symbol", "bar_idx", r6(features.stoch_k(), "stoch_k"))
 
 
 def ind_range_rank(spark, sf):
@@ -92,10 +91,8 @@ def ind_range_rank(spark, sf):
 
 
 def ind_session_vwap_obv(spark, sf):
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    w = R.running("session_date")
-    df = hourly(spark, sf).withColumn("sv", F.coalesce(F.signum(F.col("close") - R.lag("close")), F.lit(0.0)) * F.col("volume"))
-    return df.select("symbol", "bar_idx", r6(F.sum(typical * F.col("volume")).over(w) / (F.sum("volume").over(w) + R.EPS), "vwap"), r6(F.sum("sv").over(R.running()), "obv"))
+    df = features.with_obv(features.with_session_vwap(hourly(spark, sf)))
+    return df.select("symbol", "bar_idx", r6("__vwap", "vwap"), r6("__obv", "obv"))
 
 
 def ind_run_length(spark, sf):
@@ -106,13 +103,13 @@ def _features(group):
     return lambda spark, sf: features.build_features(hourly(spark, sf), [group]).select("symbol", "bar_idx", *(r6(c, c) for c in features.GROUPS[group]))
 
 
-def labelled(spark, sf) -> DataFrame:
-    df = R.scans(hourly(spark, sf).withColumn("__tr", R.true_range()), {"atr": ("__tr", 1 / 14, 0, 14)}).drop("__tr")
-    return labels.triple_barrier(df, **LABEL)
+def labelled(bars: DataFrame) -> DataFrame:
+    bars = R.in_pieces(bars, lambda d: d.withColumn("__tr", R.true_range()), 1)
+    return labels.triple_barrier(R.scans(bars, {"atr": ("__tr", 1 / 14, 0, 14)}).drop("__tr"), **LABEL)
 
 
 def label_triple_barrier(spark, sf):
-    return labelled(spark, sf).where("valid").select("symbol", "bar_idx", r6("long_R", "long_r"), r6("short_R", "short_r"), "long_exit", "short_exit", *(big(c, c) for c in ("long_out", "short_out", "label")))
+    return labelled(hourly(spark, sf)).where("valid").select("symbol", "bar_idx", r6("long_R", "long_r"), r6("short_R", "short_r"), "long_exit", "short_exit", *(big(c, c) for c in ("long_out", "short_out", "label")))
 
 
 def folds_walk_forward(spark, sf):
@@ -121,16 +118,32 @@ def folds_walk_forward(spark, sf):
 
 def filter_static_mask(spark, sf):
     df = features.build_features(hourly(spark, sf), ["trend", "volatility"]).withColumn("ok", walk.static_mask("rth", 15.0, 1.0, 99.0))
-    return df.groupBy("symbol").agg(F.count_if("ok").alias("admitted"), F.count(F.lit(1)).alias("n")).withColumn("enough", F.col("admitted") / (0.35 * 12) >= 20)
+    return df.groupBy("symbol").agg(F.count_if("ok").alias("admitted"), F.count(F.lit(1)).alias("n")).withColumn("enough", walk.capacity(F.col("admitted"), 12, 20))
 
 
-def traded(spark, sf) -> DataFrame:
-    df = walk.momentum_signal(labelled(spark, sf)).withColumn("direction", walk.signal(0.6, 0.6, 0.1))
-    return walk.one_position(walk.candidates(walk.in_windows(df, walk.fold_windows(hourly(spark, sf), TRAIN, TEST, LABEL["max_bars"]))), ["symbol", "fold"])
+def _trades(bars: DataFrame) -> DataFrame:
+    df = walk.momentum_signal(labelled(bars)).withColumn("direction", walk.signal(0.6, 0.6, 0.1))
+    taken = walk.one_position(walk.candidates(walk.in_windows(df, walk.fold_windows(bars, TRAIN, TEST, LABEL["max_bars"]))), ["symbol", "fold"])
+    return taken.select("symbol", big("fold", "fold"), "bar_idx", "exit_idx", big("direction", "direction"), r6("R", "r"))
 
 
 def trades_one_position(spark, sf):
-    return traded(spark, sf).select("symbol", big("fold", "fold"), "bar_idx", "exit_idx", big("direction", "direction"), r6("R", "r"))
+    return _trades(hourly(spark, sf))
+
+
+def trades_whole_market(spark, sf):
+    """The trade walk over one series of all ticks, whatever their symbol: long enough for folds on the smallest table too."""
+    t = _t(spark, sf, "events").select(F.lit("all").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), (1 + F.col("user_id") % 9).cast("double").alias("volume"))
+    bars = B.tag_sessions(B.indexed(B.ticks_to_bars(t, "1h", ["event_id"])))
+    return _trades(bars)
+
+
+def genome_fingerprints(spark, sf):
+    """Fingerprints of genomes that are made from the keys of customer, as the search computes them."""
+    k = F.col("c_custkey")
+    grid = lambda g: F.element_at(F.array(*(F.lit(x) for x in G.GRID[g])), (k * (G.GENES.index(g) + 1) % len(G.GRID[g]) + 1).cast("int"))
+    genes = {g: grid(g) for g in G.GENES} | {G.SUBSET: F.slice(F.array(*(F.lit(x) for x in G.POOL)), 1, (k % 6 + 2).cast("int"))}
+    return _t(spark, sf, "customer").select(k.alias("c_custkey"), G.fingerprint_column(genes).alias("fingerprint"))
 
 
 def _r_rows(spark, sf) -> DataFrame:
@@ -179,7 +192,7 @@ def registry_topk(spark, sf):
 
 def registry_unseen(spark, sf):
     c = _t(spark, sf, "customer").select(F.col("c_name").alias("fingerprint")).union(_t(spark, sf, "supplier").select(F.col("s_name").alias("fingerprint")))
-    return c.dropDuplicates(["fingerprint"]).join(state(spark, sf).where("status = 'ok'").select("fingerprint"), "fingerprint", "left_anti")
+    return registry.unseen(c, state(spark, sf).where("status = 'ok'"))
 
 
 def registry_dup_audit(spark, sf):
@@ -248,7 +261,7 @@ def _lag(c: str, k: int = 1) -> str:
 _rng = "nullif(high - low, 0)"
 _up, _low = "(high - greatest(open, close))", "(least(open, close) - low)"
 _flag = lambda c: f"coalesce(({c}), false)::int::double"
-_STREAK = f", s1 as (select *, coalesce(sign(close - pc), 0) as sg from f), s2 as (select *, coalesce((sg != lag(sg) {_W})::int, 1) as nw from s1), s3 as (select *, sum(nw) {_W} as run from s2), s4 as (select *, sum(sg) over (partition by symbol, run order by bar_idx) as streak from s3)"
+_streak = lambda x: f", s1 as (select *, coalesce(sign({x}), 0) as sg from f), s2 as (select *, coalesce((sg != lag(sg) {_W})::int, 1) as nw from s1), s3 as (select *, sum(nw) {_W} as run from s2), s4 as (select *, sum(sg) over (partition by symbol, run order by bar_idx) as streak from s3)"
 _SESS = "over (partition by symbol, session_date order by bar_idx)"
 
 _LBL = f"""with recursive {_B}, {_P}, {_ATR},
@@ -262,7 +275,10 @@ lbl as (select symbol, bar_idx, entry, atr, coalesce(li, last) as long_exit, coa
   case when li is null then 2 when ll <= entry - atr then 0 else 1 end as long_out, case when si is null then 2 when sh >= entry + atr then 0 else 1 end as short_out,
   case when li is null then (zc - entry - 0.05) / atr when ll <= entry - atr then -1 - 0.05 / atr else 2 - 0.05 / atr end as long_r,
   case when si is null then (entry - zc - 0.05) / atr when sh >= entry + atr then -1 - 0.05 / atr else 2 - 0.05 / atr end as short_r from k)"""
-_FOLD_VALUES = ", ".join(f"({f}, {a}, {b}, {c}, {d})" for f, a, b, c, d in FOLDS)
+#: Folds as windows over each symbol's own number of bars: 200 to learn from, 13 of embargo, 60 to test.
+_FOLDS = """nb as (select symbol, max(bar_idx) + 1 as n from b group by 1), w as (select symbol, unnest(generate_series(213, n - 60, 60)) as te_lo from nb where n >= 273),
+  fk as (select symbol, te_lo, greatest(0, te_lo - 213) as tr_lo, te_lo - 13 as tr_hi, te_lo + 60 as te_hi from w),
+  fo as (select symbol, row_number() over (partition by symbol order by te_lo) - 1 as fold, tr_lo, tr_hi, te_lo, te_hi from fk where tr_hi - tr_lo >= 200)"""
 
 _RAW = "raw as (select l_returnflag as symbol, l_shipdate as ts, l_extendedprice as open, l_extendedprice * (1 + l_tax - 0.02) as high, l_extendedprice * (1 - l_discount + 0.01) as low, l_extendedprice * (1 + (l_tax - l_discount) / 2) as close, l_quantity as volume from lineitem)"
 _RR = "rr as (select l_suppkey % 40 as strategy, l_partkey % 6 as fold, l_orderkey, l_linenumber, l_shipdate as entry_time, round((l_partkey * 31 + l_orderkey * 17) % 700 / 100.0 - 3.2, 2)::double as r from lineitem)"
@@ -273,15 +289,15 @@ def _metrics(keys: str, name: str) -> str:
     return f"""{name}1 as (select *, sum(r) over ({w} rows unbounded preceding) as eq, row_number() over ({w}) as pos from rr),
 {name}2 as (select *, greatest(max(eq) over ({w} rows unbounded preceding), 0) - eq as dd, pos - coalesce(max(case when r > 0 then pos end) over ({w} rows unbounded preceding), 0) as streak from {name}1),
 {name}3 as (select {keys}, count(*) as n, avg((r > 0)::int) as wr, coalesce(avg(r) filter (where r > 0), 0) as aw, coalesce(avg(r) filter (where r <= 0), 0) as al, avg(r) as mean, sum(r) as total, max(dd) as dd, coalesce(stddev_samp(r), 0) as sd, max(streak) as streak,
-  max(r) as best, min(r) as worst, coalesce(sum(r) filter (where r > 0), 0) as gain, coalesce(sum(r) filter (where r <= 0), 0) as loss, (epoch(max(entry_time)) - epoch(min(entry_time))) / 86400.0 as span from {name}2 group by {keys}),
+  max(r) as best, min(r) as worst, coalesce(sum(r) filter (where r > 0), 0) as gain, coalesce(sum(r) filter (where r <= 0), 0) as loss, case when count(*) >= 2 then greatest((epoch(max(entry_time)) - epoch(min(entry_time))) / 86400.0, 1e-9) else 0 end as span from {name}2 group by {keys}),
 {name}4 as (select *, wr * aw + (1 - wr) * al as ex, case when span > 0 then n / span * 365.25 else 0 end as tpy from {name}3),
 {name} as (select {keys}, n as trades, round_even(wr, 4) as win_rate, round_even(mean, 4) as avg_R, round_even(aw, 4) as avg_win_R, round_even(al, 4) as avg_loss_R, round_even(ex, 4) as expectancy_R, round_even(total, 2) as total_R, round_even(dd, 2) as max_dd_R,
   round_even(case when dd > 1e-9 then total / dd else greatest(total, 0) end, 3) as recovery_factor, round_even(case when sd > 1e-9 then ex / sd * sqrt(tpy) else 0 end, 3) as sharpe,
-  round_even(case when loss < 0 then least(gain / abs(loss), 999) when gain > 0 then 999 else 0 end, 3) as profit_factor, round_even(case when al < 0 then aw / abs(al) when aw > 0 then 10 else 0 end, 3) as payoff_ratio,
-  round_even(case when sd > 1e-9 then ex / sd * sqrt(n) else 0 end, 3) as t_stat, streak::bigint as max_losing_streak, round_even(tpy, 1) as trades_per_year, round_even(span, 1) as span_days, round_even(best, 3) as best_R, round_even(worst, 3) as worst_R from {name}4)"""
+  round_even(case when loss < 0 then least(gain / abs(loss), 999) else 999 end, 3) as profit_factor, round_even(case when al < -1e-9 then least(aw / abs(al), 999) when aw > 0 then 10 else 0 end, 3) as payoff_ratio,
+  round_even(case when sd > 1e-9 then ex / sd * sqrt(n) else 0 end, 3) as t_stat, streak::bigint as max_losing_streak, round_even(tpy, 1) as trades_per_year, round_even(span, 1) as span_days, round_even(best, 2) as best_R, round_even(worst, 2) as worst_R from {name}4)"""
 
 
-_SCORE = """sc0 as (select *, 0.34 * tanh(expectancy_R / 0.25) + 0.22 * tanh(sharpe / 1.5) + 0.22 * tanh(recovery_factor / 3.0) + case when expectancy_R > 0 then 0.22 * tanh(payoff_ratio / 2.0) else 0 end as raw,
+_SCORE = """sc0 as (select *, 0.34 * tanh(expectancy_R / 0.20) + 0.22 * tanh(sharpe / 1.5) + 0.22 * tanh(recovery_factor / 3.0) + case when expectancy_R > 0 then 0.22 * tanh(payoff_ratio / 2.0) else 0 end as raw,
   least(1.0, greatest(t_stat, 0) / 3.5) * sqrt(least(1.0, trades / 100.0)) as pen from m),
 sc as (select *, round_even(greatest(-1, least(1, case when raw > 0 then raw * pen else raw / greatest(pen, 0.25) end)), 5) as score from sc0)"""
 _STATE = """st0 as (select c_name as fingerprint, case when c_custkey % 11 = 0 then 'pending' when c_custkey % 7 = 0 then 'failed' when c_custkey % 5 = 0 then 'rejected' else 'ok' end as status, c_acctbal, c_custkey % 30 as generation, (c_custkey % 13)::double as eval_secs,
@@ -291,12 +307,33 @@ _K = {n: f"2 / {n + 1}.0" for n in (9, 12, 21, 26, 50, 200)}
 _ADX = ", ".join([_rec("pdm14", "q", "pdm", "1/14.0", 0, 14), _rec("ndm14", "q", "ndm", "1/14.0", 0, 14)]) + ", di as (select symbol, bar_idx, 100 * pdm14 / (atr14 + 1e-12) as plus_di, 100 * ndm14 / (atr14 + 1e-12) as minus_di from atr14 join pdm14 using (symbol, bar_idx) join ndm14 using (symbol, bar_idx)), dxs as (select *, 100 * abs(plus_di - minus_di) / (plus_di + minus_di + 1e-12) as dx from di), " + _rec("adx14", "dxs", "dx", "1/14.0", 13, 14)
 
 
+def _EMAS(*periods: int) -> str:
+    return ", ".join(_rec(f"ema{n}", "b", "close", _K[n], 0, n) for n in periods)
+
+
+def _JOIN(*tables: str) -> str:
+    return " ".join(f"left join {t} using (symbol, bar_idx)" for t in tables)
+
+
 def _ceiling(x: str) -> str:
     a = f"sqrt(2 * ln({x}))"
-    return f"({a} - (ln(ln({x})) + ln(4 * pi())) / (2 * {a}) + 0.5772156649 / {a})"
+    return f"({a} - (ln(ln({x})) + ln(4 * pi())) / (2 * {a}))"
 
 
 
+def _genome_sql() -> str:
+    """The canonical text of genome_fingerprints' genomes, gene by gene in the order of their names."""
+    text = lambda x: "'" + (f'"{x}"' if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)) + "'"
+    pick = lambda g: f"list_extract([{', '.join(text(x) for x in G.GRID[g])}], (c_custkey * {G.GENES.index(g) + 1} % {len(G.GRID[g])} + 1)::int)"
+    groups = "'[\"' || array_to_string(list_sort(list_slice([" + ", ".join(f"'{x}'" for x in G.POOL) + "], 1, (c_custkey % 6 + 2)::int)), '\",\"') || '\"]'"
+    genes = [f"'\"{g}\":' || " + (groups if g == G.SUBSET else pick(g)) for g in sorted([*G.GENES, G.SUBSET])]
+    return "select c_custkey, substr(sha256('{' || " + " || ',' || ".join(genes) + " || '}'), 1, 20) as fingerprint from customer"
+
+
+def _whole_market(sql: str) -> str:
+    return sql.replace("select event_type as symbol", "select 'all' as symbol").replace("arg_min(value, ts)", "arg_min(value, (ts, event_id))").replace("arg_max(value, ts)", "arg_max(value, (ts, event_id))")
+
+
 QUERIES = {
     "bars_resample_1h": (_bars("1h"), f"with b as ({_bar_sql('hour')}) select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, open, high, low, close, volume from b"),
     "bars_resample_15min": (_bars("15min"), f"with b as ({_bar_sql('', 15)}) select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, open, high, low, close, volume from b"),
@@ -308,22 +345,22 @@ QUERIES = {
     "native_spacing_median": (native_spacing_median, f"with g as (select event_type as symbol, date_diff('second', date_trunc('second', lag(ts) over (partition by event_type order by ts)), date_trunc('second', ts)) / 60.0 as gap from events) select symbol, {_r('quantile_cont(case when gap > 0 then gap end, 0.5)', 'spacing')} from g group by 1"),
     "bars_per_year": (bars_per_year, f"with {_B} select symbol, {_r('count(*) / ((epoch(max(ts)) - epoch(min(ts))) / 86400.0) * 365.25', 'bars_per_year')} from b group by 1"),
     "ind_sma_bands": (ind_sma_bands, f"with {_B}, x as (select symbol, bar_idx, {_full('avg(close)', 'close', 20)} as a, {_full('stddev_samp(close)', 'close', 20)} as s, volume, {_full('avg(volume)', 'volume', 50)} as va, {_full('stddev_samp(volume)', 'volume', 50)} as vs from b) select symbol, bar_idx, {_r('a', 'sma20')}, {_r('s', 'sd20')}, {_r('(volume - va) / (vs + 1e-12)', 'vol_z')} from x"),
-    "ind_ema": (_ind("ema9", "ema21", "ema50", "ema200"), f"with recursive {_B}, {', '.join(_rec(f'ema{n}', 'b', 'close', _K[n], 0, n) for n in (9, 21, 50, 200))} select symbol, bar_idx, {', '.join(_r(f'ema{n}', f'ema{n}') for n in (9, 21, 50, 200))} from ema9 join ema21 using (symbol, bar_idx) join ema50 using (symbol, bar_idx) join ema200 using (symbol, bar_idx)"),
-    "ind_atr": (_ind("atr14", "atr50"), f"with recursive {_B}, {_P}, {_ATR}, {_rec('atr50', 'q', 'tr', '1/50.0', 0, 50)} select symbol, bar_idx, {_r('atr14', 'atr14')}, {_r('atr50', 'atr50')} from atr14 join atr50 using (symbol, bar_idx)"),
-    "ind_rsi": (_ind("rsi14", "rsi7"), f"with recursive {_B}, {_P}, {', '.join(_rec(f'{s}{n}', 'q', s, f'1/{n}.0', 1, n) for s in ('up', 'down') for n in (7, 14))} select b.symbol, b.bar_idx, {_r('100 - 100 / (1 + up14 / (down14 + 1e-12))', 'rsi14')}, {_r('100 - 100 / (1 + up7 / (down7 + 1e-12))', 'rsi7')} from b left join up14 using (symbol, bar_idx) left join down14 using (symbol, bar_idx) left join up7 using (symbol, bar_idx) left join down7 using (symbol, bar_idx)"),
-    "ind_adx": (_ind("plus_di", "minus_di", "adx14_raw"), f"with recursive {_B}, {_P}, {_ATR}, {_ADX} select symbol, bar_idx, {_r('plus_di', 'plus_di')}, {_r('minus_di', 'minus_di')}, {_r('adx14', 'adx14_raw')} from di left join adx14 using (symbol, bar_idx)"),
-    "ind_macd": (_ind("__macd", "__signal"), f"with recursive {_B}, {_rec('ema12', 'b', 'close', _K[12], 0, 12)}, {_rec('ema26', 'b', 'close', _K[26], 0, 26)}, mm as (select symbol, bar_idx, ema12 - ema26 as macd from ema12 join ema26 using (symbol, bar_idx)), {_rec('sgn', 'mm', 'macd', _K[9], 25, 9)} select symbol, bar_idx, {_r('macd', 'macd')}, {_r('sgn', 'signal')} from mm left join sgn using (symbol, bar_idx)"),
+    "ind_ema": (_ind("trend", "ema9", "ema21", "ema50", "ema200"), f"with recursive {_B}, {', '.join(_rec(f'ema{n}', 'b', 'close', _K[n], 0, n) for n in (9, 21, 50, 200))} select symbol, bar_idx, {', '.join(_r(f'ema{n}', f'ema{n}') for n in (9, 21, 50, 200))} from ema9 join ema21 using (symbol, bar_idx) join ema50 using (symbol, bar_idx) join ema200 using (symbol, bar_idx)"),
+    "ind_atr": (_ind("volatility", "atr14", "atr50"), f"with recursive {_B}, {_P}, {_ATR}, {_rec('atr50', 'q', 'tr', '1/50.0', 0, 50)} select symbol, bar_idx, {_r('atr14', 'atr14')}, {_r('atr50', 'atr50')} from atr14 join atr50 using (symbol, bar_idx)"),
+    "ind_rsi": (_ind("momentum", "rsi14", "rsi7"), f"with recursive {_B}, {_P}, {', '.join(_rec(f'{s}{n}', 'q', s, f'1/{n}.0', 1, n) for s in ('up', 'down') for n in (7, 14))} select b.symbol, b.bar_idx, {_r('100 - 100 / (1 + up14 / (down14 + 1e-12))', 'rsi14')}, {_r('100 - 100 / (1 + up7 / (down7 + 1e-12))', 'rsi7')} from b left join up14 using (symbol, bar_idx) left join down14 using (symbol, bar_idx) left join up7 using (symbol, bar_idx) left join down7 using (symbol, bar_idx)"),
+    "ind_adx": (_ind("trend", "plus_di", "minus_di", "adx14_raw"), f"with recursive {_B}, {_P}, {_ATR}, {_ADX} select symbol, bar_idx, {_r('plus_di', 'plus_di')}, {_r('minus_di', 'minus_di')}, {_r('adx14', 'adx14_raw')} from di left join adx14 using (symbol, bar_idx)"),
+    "ind_macd": (_ind("momentum", "__macd", "__signal"), f"with recursive {_B}, {_rec('ema12', 'b', 'close', _K[12], 0, 12)}, {_rec('ema26', 'b', 'close', _K[26], 0, 26)}, mm as (select symbol, bar_idx, ema12 - ema26 as macd from ema12 join ema26 using (symbol, bar_idx)), {_rec('sgn', 'mm', 'macd', _K[9], 25, 9)} select symbol, bar_idx, {_r('macd', 'macd')}, {_r('sgn', 'signal')} from mm left join sgn using (symbol, bar_idx)"),
     "ind_stoch": (ind_stoch, f"with {_B}, x as (select symbol, bar_idx, close, {_full('min(low)', 'low', 14)} as lo, {_full('max(high)', 'high', 14)} as hi from b) select symbol, bar_idx, {_r('100 * (close - lo) / (hi - lo + 1e-12)', 'stoch_k')} from x"),
     "ind_range_rank": (ind_range_rank, f"with {_B}, x as (select symbol, bar_idx, high - low as r from b) select a.symbol, a.bar_idx, {_r('case when a.bar_idx >= 49 then (count(*) filter (where c.r < a.r) + (count(*) filter (where c.r = a.r) + 1) / 2.0) / 50 end', 'range_pctile50')} from x a join x c on c.symbol = a.symbol and c.bar_idx between a.bar_idx - 49 and a.bar_idx group by a.symbol, a.bar_idx"),
     "ind_session_vwap_obv": (ind_session_vwap_obv, f"with {_B}, x as (select *, coalesce(sign(close - lag(close) {_W}), 0) * volume as sv from b) select symbol, bar_idx, {_r(f'sum((high + low + close) / 3 * volume) {_SESS} / (sum(volume) {_SESS} + 1e-12)', 'vwap')}, {_r(f'sum(sv) {_W}', 'obv')} from x"),
-    "ind_run_length": (ind_run_length, f"with recursive {_B}, {_P}, f as (select * from q){_STREAK} select symbol, bar_idx, streak::bigint as streak from s4"),
+    "ind_run_length": (ind_run_length, f"with recursive {_B}, {_P}, f as (select * from q){_streak('close - pc')} select symbol, bar_idx, streak::bigint as streak from s4"),
     "feat_patterns": (
         _features("patterns"),
-        f"with recursive {_B}, {_P}, {_ATR}, f as (select q.*, nullif(atr14, 0) as scale from q join atr14 using (symbol, bar_idx)){_STREAK} select symbol, bar_idx, "
+        f"with recursive {_B}, {_P}, {_ATR}, f as (select q.*, nullif(atr14, 0) as scale from q join atr14 using (symbol, bar_idx)){_streak('close - open')} select symbol, bar_idx, "
         + ", ".join(
             _r(e, n)
             for n, e in {
-                "body_ratio": f"(close - open) / {_rng}", "upper_wick_ratio": f"{_up} / {_rng}", "lower_wick_ratio": f"{_low} / {_rng}", "wick_imbalance": f"({_low} - {_up}) / {_rng}",
+                "body_ratio": f"(close - open) / {_rng}", "upper_wick_ratio": f"{_up} / {_rng}", "lower_wick_ratio": f"{_low} / {_rng}", "wick_imbalance": f"({_up} - {_low}) / {_rng}",
                 "is_doji": _flag(f"abs(close - open) / {_rng} < 0.1"), "is_pin_bull": _flag(f"{_low} / {_rng} > 0.6 and close > open"), "is_pin_bear": _flag(f"{_up} / {_rng} > 0.6 and close < open"),
                 "engulf_bull": _flag("close > open and pc < po and close >= po and open <= pc"), "engulf_bear": _flag("close < open and pc > po and close <= po and open >= pc"),
                 "inside_bar": _flag("high <= ph and low >= pl"), "outside_bar": _flag("high > ph and low < pl"), "body_vs_atr": "abs(close - open) / scale", "gap_atr": "(open - pc) / scale", "consec_up": "streak::double",
@@ -333,7 +370,7 @@ QUERIES = {
     ),
     "feat_returns": (
         _features("returns"),
-        f"with recursive {_B}, {_P}, {_ATR}, f as (select q.*, (close - pc) / nullif(atr14, 0) as r1, nullif(atr14, 0) as scale from q join atr14 using (symbol, bar_idx)) select symbol, bar_idx, "
+        f"with recursive {_B}, {_P}, {_ATR}, f as (select q.*, ln(close / pc) as r1, nullif(atr14, 0) as scale from q join atr14 using (symbol, bar_idx)) select symbol, bar_idx, "
         + ", ".join(_r(f"(close - {_lag('close', k)}) / scale", f"ret{k}_atr") for k in (1, 2, 3, 5, 10, 20))
         + ", " + _r(f"r1 / ({_full('stddev_samp(r1)', 'r1', 50)} + 1e-12)", "ret1_z") + ", " + _r(f"({_full('max(high)', 'high', 5)} - close) / (close - {_full('min(low)', 'low', 5)} + 1e-12)", "hl_ratio5") + " from f",
     ),
@@ -341,23 +378,46 @@ QUERIES = {
         _features("session"),
         _feature_sql(
             ", ".join(
-                [_r("sin(minute_of_day * (2 * pi() / 1440))", "tod_sin"), _r("cos(minute_of_day * (2 * pi() / 1440))", "tod_cos"), _r("is_rth::double", "is_rth_f"), _r("is_open_drive::double", "is_open_drive_f"), _r("is_close::double", "is_close_hour"), _r("dow::double", "dow_f"), _r("greatest(-1440.0, least(1440.0, minute_of_day - 570.0))::double", "mins_from_rth_open"),
+                [_r("sin(minute_of_day * (2 * pi() / 1440))", "tod_sin"), _r("cos(minute_of_day * (2 * pi() / 1440))", "tod_cos"), _r("is_rth::double", "is_rth"), _r("is_open_drive::double", "is_open_drive"), _r("is_close::double", "is_close_hour"), _r("dow::double", "dow"), _r("greatest(-1440.0, least(1440.0, minute_of_day - 570.0))::double", "mins_from_rth_open"),
                  _r(f"(count(*) {_SESS} - 1)::double", "bars_into_session"), _r(f"(close - min(low) {_SESS}) / (max(high) {_SESS} - min(low) {_SESS} + 1e-12)", "pos_in_day_range"), _r(f"(max(high) {_SESS} - close) / scale", "dist_day_high"), _r(f"(close - min(low) {_SESS}) / scale", "dist_day_low")]
             )
         ),
     ),
-    "feat_trend": (_features("trend"), None),
-    "feat_momentum": (_features("momentum"), None),
-    "feat_volatility": (_features("volatility"), None),
-    "feat_volume": (_features("volume"), None),
+    "feat_trend": (
+        _features("trend"),
+        f"with recursive {_B}, {_P}, {_ATR}, {_EMAS(9, 21, 50, 200)}, {_ADX}, f as (select q.*, nullif(atr14, 0) as scale, ema9, ema21, ema50, ema200, adx14, plus_di, minus_di from q {_JOIN('atr14', 'ema9', 'ema21', 'ema50', 'ema200', 'di', 'adx14')}) select symbol, bar_idx, "
+        + ", ".join(_r(f"(close - ema{n}) / scale", f"ema{n}_dist") + ", " + _r(f"(ema{n} - {_lag(f'ema{n}', 5)}) / scale", f"ema{n}_slope") for n in (9, 21, 50, 200))
+        + ", " + ", ".join(_r(f"(ema{a} - ema{b}) / scale", f"ema{a}_{b}") for a, b in ((9, 21), (21, 50), (50, 200)))
+        + ", " + _r(f"(close - {_full('avg(close)', 'close', 20)}) / scale", "sma20_dist") + ", " + _r("(sign(ema9 - ema21) + sign(ema21 - ema50) + sign(ema50 - ema200))::double", "ema_stack") + ", " + _r("adx14", "adx14") + ", " + _r("plus_di - minus_di", "di_diff") + " from f",
+    ),
+    "feat_momentum": (
+        _features("momentum"),
+        f"with recursive {_B}, {_P}, {_ATR}, {', '.join(_rec(f'{s}{n}', 'q', s, f'1/{n}.0', 1, n) for s in ('up', 'down') for n in (7, 14))}, {_EMAS(12, 26)}, mm as (select symbol, bar_idx, ema12 - ema26 as macd from ema12 join ema26 using (symbol, bar_idx)), {_rec('sgn', 'mm', 'macd', _K[9], 25, 9)}, "
+        f"f as (select q.*, nullif(atr14, 0) as scale, 100 - 100 / (1 + up14 / (down14 + 1e-12)) as rsi14, 100 - 100 / (1 + up7 / (down7 + 1e-12)) as rsi7, macd, macd - sgn as hist from q {_JOIN('atr14', 'up14', 'down14', 'up7', 'down7', 'mm', 'sgn')}) select symbol, bar_idx, "
+        + ", ".join(_r(e, n) for n, e in {"rsi14": "rsi14", "rsi7": "rsi7", "rsi14_slope": f"rsi14 - {_lag('rsi14', 3)}", "macd": "macd / scale", "macd_hist": "hist / scale", "macd_hist_slope": f"hist / scale - {_lag('hist / scale', 2)}", "roc10": f"(close / {_lag('close', 10)} - 1) * 100", "roc30": f"(close / {_lag('close', 30)} - 1) * 100"}.items())
+        + ", " + _r(f"100 * (close - {_full('min(low)', 'low', 14)}) / ({_full('max(high)', 'high', 14)} - {_full('min(low)', 'low', 14)} + 1e-12)", "stoch_k") + " from f",
+    ),
+    "feat_volatility": (
+        _features("volatility"),
+        f"with recursive {_B}, {_P}, {_ATR}, {_rec('atr50', 'q', 'tr', '1/50.0', 0, 50)}, f as (select q.*, atr14, atr50, ln(close / pc) as r1, high - low as rng from q {_JOIN('atr14', 'atr50')}), "
+        "rk as (select a.symbol, a.bar_idx, case when a.bar_idx >= 49 then (count(*) filter (where c.rng < a.rng) + (count(*) filter (where c.rng = a.rng) + 1) / 2.0) / 50 end as rank50 from f a join f c on c.symbol = a.symbol and c.bar_idx between a.bar_idx - 49 and a.bar_idx group by a.symbol, a.bar_idx) select symbol, bar_idx, "
+        + ", ".join(_r(e, n) for n, e in {"atr14_pct": "atr14 / close * 100", "atr_ratio": "atr14 / (atr50 + 1e-12)", "bb_width": f"4 * {_full('stddev_samp(close)', 'close', 20)} / ({_full('avg(close)', 'close', 20)} + 1e-12) * 100", "bb_pos": f"(close - {_full('avg(close)', 'close', 20)}) / (2 * {_full('stddev_samp(close)', 'close', 20)} + 1e-12)", "rvol20": f"{_full('stddev_samp(r1)', 'r1', 20)} * 100", "rvol_ratio": f"{_full('stddev_samp(r1)', 'r1', 20)} * 100 / ({_full('stddev_samp(r1)', 'r1', 100)} * 100 + 1e-12)", "range_pctile50": "rank50"}.items())
+        + " from f join rk using (symbol, bar_idx)",
+    ),
+    "feat_volume": (
+        _features("volume"),
+        f"with recursive {_B}, {_P}, {_ATR}, f0 as (select q.*, nullif(atr14, 0) as scale, coalesce(sign(close - pc), 0) * volume as sv, close * volume as dv, sum((high + low + close) / 3 * volume) {_SESS} / (sum(volume) {_SESS} + 1e-12) as vwap from q join atr14 using (symbol, bar_idx)), f as (select *, sum(sv) {_W} as obv from f0) select symbol, bar_idx, "
+        + ", ".join(_r(e, n) for n, e in {"vol_z": f"(volume - {_full('avg(volume)', 'volume', 50)}) / ({_full('stddev_samp(volume)', 'volume', 50)} + 1e-12)", "vol_ratio": f"volume / ({_full('avg(volume)', 'volume', 50)} + 1e-12)", "obv_slope": f"(obv - {_lag('obv', 10)}) / ({_full('avg(volume)', 'volume', 50)} * 10 + 1e-12)", "vwap_dist": "(close - vwap) / scale", "vwap_cross": f"(sign(close - vwap) - sign({_lag('close')} - {_lag('vwap')}))::double", "dollar_vol_z": f"(dv - {_full('avg(dv)', 'dv', 50)}) / ({_full('stddev_samp(dv)', 'dv', 50)} + 1e-12)"}.items())
+        + " from f",
+    ),
     "label_triple_barrier": (label_triple_barrier, f"{_LBL} select symbol, bar_idx, {_r('long_r', 'long_r')}, {_r('short_r', 'short_r')}, long_exit, short_exit, long_out::bigint as long_out, short_out::bigint as short_out, (case when long_out = 1 and short_out = 1 then case when long_exit <= short_exit then 1 else -1 end when long_out = 1 then 1 when short_out = 1 then -1 else 0 end)::bigint as label from lbl"),
-    "folds_walk_forward": (folds_walk_forward, f"with {_B}, w as (select i, 213 + 60 * i as te_lo from generate_series(0, 100) g(i)), k as (select te_lo, greatest(0, te_lo - 213) as tr_lo, te_lo - 13 as tr_hi, te_lo + 60 as te_hi from w where te_lo + 60 <= 600), f as (select row_number() over (order by te_lo) - 1 as fold, * from k where tr_hi - tr_lo >= 200), n as (select symbol, max(bar_idx) as last from b group by 1) select symbol, fold, tr_lo, tr_hi, te_lo, te_hi from n join f on te_lo <= last"),
+    "folds_walk_forward": (folds_walk_forward, f"with {_B}, {_FOLDS} select symbol, fold, tr_lo, tr_hi, te_lo, te_hi from fo"),
     "filter_static_mask": (filter_static_mask, f"with recursive {_B}, {_P}, {_ATR}, {_ADX}, x as (select b.symbol, coalesce(is_rth = 1 and adx14 >= 15 and atr14 / close * 100 between 1 and 99, false) as ok from b left join atr14 using (symbol, bar_idx) left join adx14 using (symbol, bar_idx)) select symbol, count(*) filter (where ok) as admitted, count(*) as n, count(*) filter (where ok) / (0.35 * 12) >= 20 as enough from x group by 1"),
     "trades_one_position": (
         trades_one_position,
         f"{_LBL}, sg as (select lbl.*, 1 / (1 + exp(-((q.close - q3.close) / lbl.atr))) as pl from lbl join q using (symbol, bar_idx) join q q3 on q3.symbol = lbl.symbol and q3.bar_idx = lbl.bar_idx - 3), "
-        f"fo(fold, tr_lo, tr_hi, te_lo, te_hi) as (values {_FOLD_VALUES}), di0 as (select *, case when pl >= 0.6 and pl - (1 - pl) >= 0.1 then 1 when 1 - pl >= 0.6 and (1 - pl) - pl >= 0.1 then -1 else 0 end as direction from sg), "
-        "c as (select symbol, fold, bar_idx, direction, case when direction = 1 then long_exit else short_exit end as exit_idx, case when direction = 1 then long_r else short_r end as r from di0 join fo on bar_idx >= te_lo and bar_idx < te_hi where direction != 0), "
+        f"{_FOLDS}, di0 as (select *, case when pl >= 0.6 and pl - (1 - pl) >= 0.1 then 1 when 1 - pl >= 0.6 and (1 - pl) - pl >= 0.1 then -1 else 0 end as direction from sg), "
+        "c as (select di0.symbol, fold, bar_idx, direction, case when direction = 1 then long_exit else short_exit end as exit_idx, case when direction = 1 then long_r else short_r end as r from di0 join fo on fo.symbol = di0.symbol and bar_idx >= te_lo and bar_idx < te_hi where direction != 0), "
         "wk as (select symbol, fold, min(bar_idx) as bar_idx, arg_min(exit_idx, bar_idx) as exit_idx from c group by 1, 2 union all select c.symbol, c.fold, min(c.bar_idx), arg_min(c.exit_idx, c.bar_idx) from wk join c on c.symbol = wk.symbol and c.fold = wk.fold and c.bar_idx > wk.exit_idx group by c.symbol, c.fold) "
         f"select c.symbol, c.fold::bigint as fold, c.bar_idx, c.exit_idx, c.direction::bigint as direction, {_r('c.r', 'r')} from wk join c using (symbol, fold, bar_idx)",
     ),
@@ -366,7 +426,7 @@ QUERIES = {
     "score_haircut": (
         score_haircut,
         f"with {_RR}, {_metrics('strategy', 'm')}, {_metrics('strategy, fold', 'mf')}, {_SCORE}, fc0 as (select strategy, count(*) as folds, count(*) filter (where total_R > 0) as good, stddev_pop(total_R) as sd, sum(total_R) as s, max(total_R) as top from mf where trades > 0 group by 1), "
-        "fc as (select strategy, folds, round_even(good / folds, 3) as fold_win_rate, round_even(sd, 3) as fold_std, round_even(case when s > 0 then least(1.0, top / s) else 1 end, 3) as concentration from fc0), "
+        "fc as (select strategy, folds, round_even(good / folds, 3) as fold_win_rate, round_even(sd, 2) as fold_std, round_even(case when s > 0 then least(1.0, top / s) else 1 end, 3) as concentration from fc0), "
         "y as (select *, case when folds < 3 or score <= 0 then score else round_even(score * (0.4 + 0.6 * fold_win_rate) * case when concentration > 0.7 then 1 - (concentration - 0.7) else 1 end, 5) end as final, "
         f"((expectancy_R > 0)::int + (t_stat >= {_ceiling('40.0')} + 0.5)::int + (payoff_ratio >= 2)::int + (trades >= 200)::int + (fold_win_rate >= 0.65)::int + (concentration <= 0.45)::int + (recovery_factor >= 2)::int) as passed from sc join fc using (strategy)) "
         f"select strategy, {_r('score', 'score')}, {_r('final', 'final_score')}, folds, {_r('fold_win_rate', 'fold_win_rate')}, {_r('fold_std', 'fold_std')}, {_r('concentration', 'concentration')}, passed::bigint as passed, case passed when 7 then 'candidate' when 6 then 'watch' else '' end as tier from y",
@@ -381,4 +441,6 @@ QUERIES = {
         f"with {_STATE}, pool as (select * from st where status = 'ok' and score is not null and generation > -1 order by score desc, fingerprint limit 100), n as (select *, ((rr >= 1.5)::int + (rr >= 2)::int + (rr >= 3)::int + (rr >= 4)::int)::varchar || '/' || session as niche from pool), "
         f"r as (select *, row_number() over (partition by niche order by score desc, fingerprint) as place from n) select fingerprint, {_r('score', 'score')}, niche, place from r order by (place > 1)::int, r.score desc, fingerprint limit 25",
     ),
+    "genome_fingerprints": (genome_fingerprints, _genome_sql()),
 }
+QUERIES["trades_whole_market"] = (trades_whole_market, _whole_market(QUERIES["trades_one_position"][1]))
