@@ -8,6 +8,7 @@ import hashlib
 import json
 import logging
 import os
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,13 @@ from ..operators import bars as B
 log = logging.getLogger(__name__)
 SUFFIXES = (".csv", ".csv.gz", ".txt", ".tsv")
 #: Header names that mean a canonical column.
-ALIASES = {"datetime": "ts", "date": "ts", "time": "ts", "timestamp": "ts", "ts_event": "ts", "ts": "ts", "open": "open", "o": "open", "high": "high", "h": "high", "low": "low", "l": "low", "close": "close", "c": "close", "last": "close", "volume": "volume", "vol": "volume", "v": "volume", "tickvolume": "tick_volume", "tick_volume": "tick_volume", "tickvol": "tick_volume", "symbol": "instrument"}
+ALIASES = {
+    "timestamp": "ts", "date": "ts", "datetime": "ts", "time": "ts", "ts": "ts", "ts_event": "ts", "date_time": "ts",
+    "open": "open", "o": "open", "px_open": "open", "high": "high", "h": "high", "px_high": "high",
+    "low": "low", "l": "low", "px_low": "low", "close": "close", "c": "close", "px_close": "close",
+    "volume": "volume", "v": "volume", "vol": "volume", "vwap": "vwap",
+    "tick_volume": "tick_volume", "tickvolume": "tick_volume", "tick_vol": "tick_volume", "ticks": "tick_volume", "trades": "tick_volume", "count": "tick_volume",
+}
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy.MM.dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy.MM.dd HH:mm", "MM/dd/yyyy HH:mm", "MM/dd/yyyy HH:mm:ss", "yyyyMMdd HHmmss", "yyyy-MM-dd", "yyyy.MM.dd"]
 REQUIRED = ["open", "high", "low", "close"]
 MAX_VOLUME = 50_000
@@ -129,29 +136,53 @@ def cache_key(path: str, timeframe: str, options: dict) -> str:
     return hashlib.sha1(json.dumps([path, timeframe, options, files], sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def load_bars(spark: SparkSession, path: str, timeframe: str = "15min", adapter: str = "csv", start=None, end=None, cache_dir: str | None = None, **options) -> DataFrame:
-    """Tagged and indexed bars of a source, resampled to ``timeframe``; from the cache if files and options are unchanged."""
+def _age_hours(spark: SparkSession, path: str) -> float:
+    """Hours since a file was written; infinity if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return (time.time() - fs.getFileStatus(at).getModificationTime() / 1000) / 3600 if fs.exists(at) else float("inf")
+
+
+def load_bars(spark: SparkSession, path: str, timeframe: str = "15min", adapter: str = "csv", start=None, end=None, cache_dir: str | None = None, max_age_hours: float = 12, **options) -> DataFrame:
+    """Tagged and indexed bars of a source, resampled to ``timeframe``; from the cache if files and options are unchanged and
+    it isn't older than ``max_age_hours``. ``cache_dir`` is a folder that all executors see: a URI, or a path where there is
+    one machine only."""
     if adapter not in ADAPTERS:
         raise ValueError(f"unknown adapter {adapter!r}; known: {', '.join(sorted(ADAPTERS))}")
-    at = cache_dir and os.path.join(cache_dir, f"bars_{cache_key(path, timeframe, options | {'adapter': adapter})}")
-    if at and os.path.exists(os.path.join(at, "_SUCCESS")):
-        df = spark.read.parquet(f"file://{os.path.abspath(at)}")
+    at = cache_dir and f"{cache_dir.rstrip('/') if '://' in cache_dir else 'file://' + os.path.abspath(cache_dir)}/bars_{cache_key(path, timeframe, options | {'adapter': adapter})}"
+    if at and _age_hours(spark, f"{at}/_SUCCESS") <= max_age_hours:
+        df = spark.read.parquet(at)
     else:
         df = B.resample(ADAPTERS[adapter](spark, path, timeframe, **options), timeframe)
         if at:
-            df.write.mode("overwrite").parquet(f"file://{os.path.abspath(at)}")
-            df = spark.read.parquet(f"file://{os.path.abspath(at)}")
+            df.write.mode("overwrite").parquet(at)
+            df = spark.read.parquet(at)
     return B.tag_sessions(B.indexed(B.time_range(df, start, end)))
 
 
-def synthetic(spark: SparkSession, n: int, seed: int = 42, start: str = "2022-01-03 09:30:00", minutes: int = 5, symbol: str = "SYN") -> DataFrame:
-    """n random-walk bars on a regular grid; the walk itself is a running sum, so it is one series in one task."""
+def synthetic(spark: SparkSession, n: int, seed: int = 42, start: str = "2022-01-03 00:00:00", minutes: int = 5, symbol: str = "SYN") -> DataFrame:
+    """n bars of a made-up market: weekdays without the hour from 17:00, busy sessions with bursts at the open and close,
+    slowly changing volatility, fat tails and a little momentum. One short series for trials, made on the driver."""
     import numpy as np
     import pandas as pd
 
     rng = np.random.default_rng(seed)
-    close = 12000 * np.exp(np.cumsum(rng.normal(0, 6e-4, n)))
+    grid = pd.date_range(start, periods=2 * n + 4096, freq=f"{minutes}min")
+    at = grid[(grid.dayofweek < 5) & (grid.hour != 17)][:n]
+    minute = (at.hour * 60 + at.minute).to_numpy(float)
+    burst = lambda centre, width, size: 1 + size * np.exp(-((minute - centre) ** 2) / (2 * width**2))
+    busy = np.where((minute >= 570) & (minute < 960), 1.0, 0.35) * burst(575, 25, 0.9) * burst(950, 20, 0.5)
+
+    def recursive(x: np.ndarray, *lags: float) -> np.ndarray:
+        out = x.copy()
+        for i in range(len(lags), n):
+            out[i] += sum(w * out[i - 1 - k] for k, w in enumerate(lags))
+        return out
+
+    level = np.exp(recursive(rng.normal(0, 0.03, n), 0.995))
+    vol = 0.00045 * level * busy * np.sqrt(minutes / 5)
+    close = 13000 * np.exp(np.cumsum(recursive(vol * rng.standard_t(4, n) / np.sqrt(2), 0.045, -0.02)))
     open_ = np.concatenate([close[:1], close[:-1]])
-    spread = np.abs(close - open_) + rng.uniform(1, 6, n)
-    pdf = pd.DataFrame({"symbol": symbol, "ts": pd.date_range(start, periods=n, freq=f"{minutes}min"), "open": open_, "high": np.maximum(open_, close) + 0.4 * spread, "low": np.minimum(open_, close) - 0.4 * spread, "close": close, "volume": rng.integers(100, 2000, n).astype(float)})
-    return spark.createDataFrame(pdf, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    reach, up = np.abs(close - open_) + vol * close * rng.uniform(0.4, 1.6, n), rng.uniform(0, 1, n)
+    pdf = pd.DataFrame({"symbol": symbol, "ts": at, "open": open_, "high": np.maximum(open_, close) + 0.6 * reach * up, "low": np.minimum(open_, close) - 0.6 * reach * (1 - up), "close": close, "volume": np.round(rng.gamma(3.0, 1200.0, n) * busy)})
+    return spark.createDataFrame(pdf.round({c: 2 for c in ("open", "high", "low", "close")}), "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
