@@ -16,7 +16,7 @@ BUCKETS, BAND, MANTISSA = 200, 5, 9
 MIN_ESTIMATED, MARGIN = 64, 0.25
 #: Members up to which an open bucket's pairs become rows, bytes of sets and registers in a block of a family, followers of a hub in one task.
 SMALL, BLOCK_BYTES, FOLLOWERS = 8, 4 << 20, 2048
-#: Hub rounds go on while a round links at least this share of the nodes that are still open.
+#: Hub rounds go on while a round links more than this share of the pairs that it tries.
 PROGRESS = 0.02
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -194,15 +194,13 @@ def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
     return best.select("x.a", "b", "x.ca", "cb")
 
 
-def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of buckets that still hold several components, with their components after ``links`` between components."""
-    new = connected(links, "ca", "cb")
+def _relabelled(members: DataFrame, new: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components, after the components ``new`` of components."""
     m = members.join(new, F.col("comp") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "comp").alias("comp"))
     m = materialize(m, "relabelled")
     still = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-    still = materialize(still, "open-keys")
     out = materialize(m.join(still, "key"), "open-buckets")
-    discard(m, still, members, new)
+    discard(m, members)
     return out
 
 
@@ -250,6 +248,8 @@ def _family_links(members: DataFrame, cands: DataFrame, percent: int) -> DataFra
         regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(len(pdf), BUCKETS)
         comp, n, blk, in_main = (pdf[c].to_numpy() for c in ("comp", "n", "blk", "in_main"))
         sets = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        # a number for each band's registers; two that agree by chance only cost an estimate
+        bands = (regs.reshape(len(pdf), -1, BAND).astype(np.uint64) * (_MIX[0] ** np.arange(1, BAND + 1, dtype=np.uint64))).sum(axis=2)
         if kind == 0:
             left, right = np.flatnonzero(~in_main), np.flatnonzero(in_main)
         elif i != j:
@@ -267,9 +267,8 @@ def _family_links(members: DataFrame, cands: DataFrame, percent: int) -> DataFra
             ys = right[right > x] if kind and i == j else right
             if not len(ys):
                 continue
-            same = regs[ys] == regs[x]
-            ok = (comp[ys] != comp[x]) & same.reshape(len(ys), -1, BAND).all(axis=2).any(axis=1)
-            ys = ys[ok & _likely(regs[x], regs[ys], n[x], n[ys], percent)]
+            ys = ys[(comp[ys] != comp[x]) & (bands[ys] == bands[x]).any(axis=1)]
+            ys = ys[_likely(regs[x], regs[ys], n[x], n[ys], percent)]
             for y in ys.tolist():
                 cx, cy = find(int(comp[x])), find(int(comp[y]))
                 if cx != cy and linked(sets[x], sets[y], percent):
@@ -282,8 +281,16 @@ def _family_links(members: DataFrame, cands: DataFrame, percent: int) -> DataFra
     return found
 
 
-def set_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> list[DataFrame]:
-    """Tables of links (ca, cb) that connect all classes (cid, set_key, regs, doc_id, th, tk) with linked sets.
+def labelled(rows: DataFrame, maps: list[DataFrame]) -> DataFrame:
+    """``rows`` with comp (at first its cid) led through the components of components in ``maps``."""
+    for m in maps:
+        rows = rows.join(m, F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("node", "component")
+    return rows
+
+
+def set_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(maps, links): components of components, to be applied one after the other, and links (ca, cb) between the last ones, that
+    connect all classes (cid, set_key, regs, doc_id, th, tk) with linked sets.
 
     Classes that share a band's registers are a bucket. In each round, members of buckets with several components
     are held against one hub a bucket, in another order each time, and what is linked becomes one component; large
@@ -297,31 +304,31 @@ def set_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> list
     members = materialize(members.join(shared, "key").select("key", "cid", F.col("cid").alias("comp")), "bucket-members")
     discard(shared)
     cands = materialize(_candidates(docs, classes, members.select("cid").distinct(), k), "candidates")
-    found, turn = [], 0
+    maps, found, turn = [], [], 0
     while True:
         pairs = materialize(_hub_pairs(members, turn), "hub-pairs")
         links = materialize(verify(pairs, cands, percent), "links")
-        discard(pairs)
-        found.append(links)
-        n, turn = links.count(), turn + 1
+        n, tried, turn = links.count(), pairs.count(), turn + 1
         if n:
-            members = _relabelled(members, links)
+            maps.append(connected(links, "ca", "cb"))
+            members = _relabelled(members, maps[-1])
+        discard(pairs, links)
+        if n <= PROGRESS * tried:
+            break
+        if turn == 1:  # most candidates are settled by now
             still = materialize(cands.join(members.select("cid").distinct(), "cid", "left_semi"), "candidates")
             discard(cands)
             cands = still
-        if n <= PROGRESS * members.select("cid").distinct().count():
-            break
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1")
-    size = materialize(size.select("key", "size"), "bucket-sizes")
-    rest = materialize(members.join(size, "key"), "open-buckets")
-    discard(size, members)
+    rest = materialize(members.join(size.select("key", "size"), "key"), "open-buckets")
+    discard(members)
     pairs = materialize(_small_pairs(rest.where(F.col("size") <= SMALL).select("key", "cid", "comp")), "small-pairs")
     found.append(materialize(verify(pairs, cands, percent), "links"))
     large = rest.where(F.col("size") > SMALL).select("key", "cid", "comp")
     if not large.isEmpty():
         found.append(_family_links(large, cands, percent))
     discard(rest, pairs, cands)
-    return found
+    return maps, found
 
 
 def _sketched(docs: DataFrame, k: int, used: Column) -> tuple[DataFrame, DataFrame]:
@@ -347,22 +354,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     """
     docs = docs.select("doc_id", "text")
     sketch, classes = _sketched(docs, k, F.col("doc_id").isNotNull())
-    found = set_links(docs, classes, k, percent)
-    own = sketch.where("doc_id is not null").join(classes.select("set_key", "cid"), "set_key").select("doc_id", "cid").distinct()
-    own = materialize(own, "documents-of-classes")
-    # a document of several rows connects their classes
-    several = own.groupBy("doc_id").agg(F.min("cid").alias("ca"), F.max("cid").alias("cb")).where("ca != cb")
-    edges = own.join(several.select("doc_id", "ca"), "doc_id").select("ca", F.col("cid").alias("cb"))
+    maps, found = set_links(docs, classes, k, percent)
+    own = sketch.where("doc_id is not null").join(classes.select("set_key", F.col("cid").alias("comp")), "set_key").select("doc_id", "comp")
+    own = materialize(labelled(own, maps).distinct(), "documents-of-components")
+    # a document of several rows connects their components
+    several = own.groupBy("doc_id").agg(F.min("comp").alias("ca"), F.max("comp").alias("cb")).where("ca != cb")
+    edges = own.join(several.select("doc_id", "ca"), "doc_id").select("ca", F.col("comp").alias("cb"))
     for links in found:
         edges = edges.union(links.select("ca", "cb"))
-    comp = connected(edges, "ca", "cb")
-    groups = own.join(comp, F.col("cid") == F.col("node"), "left").select("doc_id", F.coalesce("component", "cid").alias("c"))
-    low = groups.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    low = materialize(groups.join(low, "c").select(F.col("doc_id").alias("__d"), "component_id").distinct(), "component-ids")
+    last = connected(edges, "ca", "cb")
+    groups = labelled(own, [last])
+    low = groups.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    low = materialize(groups.join(low, "comp").select(F.col("doc_id").alias("__d"), "component_id").distinct(), "component-ids")
     out = sketch.select("doc_id", "n_shingles").join(low, F.col("doc_id") == F.col("__d"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates")
-    discard(sketch, classes, own, low, comp, *found)
+    discard(sketch, classes, own, low, last, *maps, *found)
     return out
 
 
@@ -374,18 +381,18 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     (null last, then by keys of the text). Rows without words or text are all kept.
     """
     sketch, classes = _sketched(docs, k, F.lit(True))
-    found = set_links(docs, classes, k, percent)
+    maps, found = set_links(docs, classes, k, percent)
     edges = found[0]
     for links in found[1:]:
         edges = edges.union(links)
-    comp = connected(edges, "ca", "cb")
-    first = classes.join(comp, F.col("cid") == F.col("node"), "left").groupBy(F.coalesce("component", "cid").alias("c"))
+    maps.append(connected(edges, "ca", "cb"))
+    first = labelled(classes.select("doc_id", "th", "tk", F.col("cid").alias("comp")), maps).groupBy("comp")
     first = first.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "tk")).alias("x")).select(*(F.col(f"x.{c}").alias(f"__{c}") for c in ("doc_id", "th", "tk")))
     same = lambda d: d["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(d["text"]) == F.col("__th")) & (F.xxhash64(F.lit(1), d["text"]) == F.col("__tk"))
     rows = sketch.where("set_key is not null").groupBy("doc_id", "th", "tk").agg(F.count(F.lit(1)).alias("__n"))
     stay = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th") == F.col("__th")) & (F.col("tk") == F.col("__tk"))
     first = materialize(first.join(rows, stay).select("__doc_id", "__th", "__tk", "__n"), "kept-rows")
-    discard(sketch, classes, comp, *found)
+    discard(sketch, classes, *maps, *found)
     out = docs.join(first.where("__n = 1"), same(docs), "left").where(F.col("__th").isNotNull() | ~F.coalesce(docs["text"].rlike(WORD_CLASS), F.lit(False))).select(*(docs[c] for c in docs.columns))
     again = first.where("__n > 1")
     if again.isEmpty():
