@@ -148,11 +148,16 @@ def test_byte_bpe(docs, chunk, overlap):
     same(bpe.digest(bpe.encode(df, RANKS, P.PATTERN, chunk, overlap), RANKS, P.PATTERN), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], expected)
 
 
+@pytest.mark.parametrize("text", ["x" * 3000 + " y" * 900, "12345 " * 3 + "9" * 2500 + " and so on, " * 90, "中文没有空格" * 400 + " " * 700 + "!" * 900 + "\n\n\n a\r\n" * 200, "a!b?c;" * 700, " " * 4000 + "z" + " " * 300])
+def test_chunks_without_shared_boundaries(spark, text):
+    """Long runs, long white space and texts without blanks: chunks that can't be stitched become one piece."""
+    test_byte_bpe((frame(spark, [(1, text), (2, text + "é"), (None, None)]), [(1, text), (2, text + "é"), (None, None)]), 400, 50)
+
+
 def word_ids(rows, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
     return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4")) for i, x in rows]
 
 
@@ -160,7 +165,7 @@ def test_word_ids_of_odd_words():
     from tidebar.llm.tokens import WordTokenizer
 
     t = WordTokenizer(WORD_BPE)
-    texts = ["gezube$$$ x*** ab.,! don't. they're's naïve, ÑANDÚ; ß ŒUVRE İstanbul ǅ ﬁne e\u0301te\u0301 ªº x1% 12# <|endoftext|>. a|b a<b> ... #x ΣΑΣ. 中文, \u0149a k\u212a", "MÉLANGE ÿ. µm", "'s 't. x's&"]
+    texts = ["A <|endoftext|> B <|ENDOFTEXT|> c<|startoftext|>D. <|endoftext| >", "gezube$$$ x*** ab.,! don't. they're's naïve, ÑANDÚ; ß ŒUVRE İstanbul ǅ ﬁne e\u0301te\u0301 ªº x1% 12# <|endoftext|>. a|b a<b> ... #x ΣΑΣ. 中文, \u0149a k\u212a", "MÉLANGE ÿ. µm", "'s 't. x's&"]
     for text in [*texts, *" ".join(texts).split()]:
         assert t.encode(text) + b"\2\0\0\0" == word_ids([(None, text)], 2)[0][1].tobytes()
 
@@ -207,7 +212,8 @@ def test_packing(docs):
         assert at <= 4096
     assert sorted(by) == list(range(len(by)))
     if got:
-        assert packing.sequences(packed).count() == len(by)
+        used = {k: sum(n for _, n in v) for k, v in by.items()}
+        assert {r["sequence_id"]: len(r["ids"]) for r in packing.sequences(packed).collect()} == {k: n if n & (n - 1) == 0 else 4096 for k, n in used.items()}
 
 
 def test_plan_is_best_fit_decreasing():

@@ -9,24 +9,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import byte_tokenizer, seam
 
 #: Characters of a chunk and of its overlap with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 
 
-def _seams(text: str, lo: int, hi: int) -> list[int]:
-    return [i for i in range(max(lo, 1), min(hi, len(text) - 1)) if seam(text, i)]
+def boundaries(pattern: str, text: str) -> list[int]:
+    """Where the pre-tokens of a text begin."""
+    import regex
+
+    return [m.start() for m in regex.finditer(pattern, text)]
+
+
+def _cuts(seen: DataFrame, chunk: int) -> DataFrame:
+    """__row, k, from, to, piece: the part of each chunk that is its own and the piece it belongs to.
+
+    A chunk's boundaries are those of the whole text from the first one on that it shares with a neighbour whose
+    boundaries are, or that is a boundary in any text (``seam``). Neighbours are cut at the first boundary that both
+    have in their overlap, if the left one's are the text's; chunks that aren't cut apart are one piece. One row a
+    chunk, without its text, is ordered for each text.
+    """
+    order = Window.partitionBy("__row").orderBy("k")
+    df = seen.withColumn("cut", F.array_min(F.array_intersect("lefts", F.lag("rights").over(order))))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    anchor = F.max(F.when(F.col("sure") | (F.col("k") == 0), F.col("k"))).over(so_far)
+    broken = F.max(F.when(F.col("cut").isNull() & (F.col("k") > 0), F.col("k"))).over(so_far)
+    df = df.withColumn("true", F.coalesce(anchor >= broken, F.lit(True)))
+    df = df.withColumn("cut", F.when(F.lag("true").over(order), F.col("cut")))
+    df = df.withColumn("piece", F.sum(F.col("cut").isNotNull().cast("int")).over(so_far))
+    return df.select("__row", "k", F.coalesce("cut", F.lit(0)).alias("from"), (F.coalesce(F.lead("cut").over(order), F.lit(0)) + chunk).alias("to"), "piece")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """__row (the row's key), doc_id, ids (array of binaries: little-endian 32-bit ids, in order).
+    """doc_id, ids (array of binaries: little-endian 32-bit ids, in order).
 
-    Texts of at most ``chunk`` characters are encoded where they lie. Longer ones become chunks that
-    overlap by ``overlap`` characters, dealt evenly over the tasks; each lists the pre-token boundaries
-    that it sees in its two overlaps, neighbours are cut at the first boundary both have, and the
-    pieces between cuts are encoded. A text with an overlap without a common boundary is encoded
-    whole. Null texts have no ids. Rows with equal ids or texts stay apart; other columns are ignored.
+    Texts of at most ``chunk`` + ``overlap`` characters are a single chunk, encoded where they lie. Longer ones become
+    chunks that overlap by ``overlap`` characters, dealt evenly over the tasks and pre-tokenised there; they are stitched
+    where their boundaries agree, and the pieces between cuts are encoded. Chunks whose overlap has no boundary in
+    common (a pre-token that is longer, or boundaries that never agree) are put together into one piece. Null texts
+    have no ids. Rows with equal ids or texts stay apart; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     long = F.length("text") > chunk + overlap
@@ -39,43 +62,36 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     id_type = dict(docs.dtypes)["doc_id"]
     short = rows.where(~long).mapInArrow(whole, f"doc_id {id_type}, ids array<binary>")
     n = F.ceil((F.length("text") - overlap) / chunk).cast("int")
-    pieces = rows.where(long).withColumn("__row", F.monotonically_increasing_id()).select("__row", "doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"), "text")
-    pieces = pieces.select("__row", "doc_id", "n", "k", F.expr(f"substr(text, k * {chunk} + 1, {chunk + overlap})").alias("part")).repartition("__row", "k")
+    chunks = rows.where(long).withColumn("__row", F.monotonically_increasing_id()).select("__row", "doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"), "text")
+    chunks = materialize(chunks.select("__row", "doc_id", "n", "k", F.expr(f"substr(text, k * {chunk} + 1, {chunk + overlap})").alias("part")).repartition("__row", "k"), "chunks")
 
-    def boundaries(batches):
+    def pre_tokenise(batches):
         for b in batches:
-            left, right = [], []
+            left, right, sure = [], [], []
             for part, k, last in zip(b.column("part").to_pylist(), b.column("k").to_pylist(), b.column("n").to_pylist(), strict=True):
-                left.append(_seams(part, 0, overlap) if k else [])
-                right.append([i - chunk for i in _seams(part, chunk, chunk + overlap)] if k + 1 < last else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(left, pa.list_(pa.int32())), pa.array(right, pa.list_(pa.int32()))], [*b.schema.names, "lefts", "rights"])
-
-    seen = pieces.mapInArrow(boundaries, f"__row bigint, doc_id {id_type}, n int, k int, part string, lefts array<int>, rights array<int>")
-    order = Window.partitionBy("__row").orderBy("k")
-    cut = F.array_min(F.array_intersect("lefts", F.lag("rights").over(order)))
-    seen = seen.withColumn("from", F.when(F.col("k") == 0, 0).otherwise(cut))
-    seen = seen.withColumn("to", F.when(F.col("k") + 1 == F.col("n"), F.length("part")).otherwise(F.lead("from").over(order) + chunk))
-    seen = seen.withColumn("lost", F.max((F.col("from").isNull() | F.col("to").isNull()).cast("int")).over(Window.partitionBy("__row")))
-    # an unsynchronised text is put together again: every chunk gives its own characters, and one task encodes the text
-    body = F.when(F.col("lost") == 1, F.expr(f"if(k + 1 = n, part, substr(part, 1, {chunk}))")).otherwise(F.expr("substr(part, from + 1, to - from)"))
-    stitched = seen.select("__row", "doc_id", "k", "lost", body.alias("text"))
+                at = np.array(boundaries(pattern, part), dtype=np.int64)
+                left.append(at[at < overlap].tolist() if k else [])
+                right.append((at[at >= chunk] - chunk).tolist() if k + 1 < last else [])
+                # a boundary in any text, before the right overlap begins
+                sure.append(any(seam(part, i) for i in at[at < chunk].tolist()))
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("k"), *(pa.array(x, t) for x, t in zip((left, right, sure), kinds, strict=True))], ["__row", "k", "lefts", "rights", "sure"])
+
+    seen = chunks.select("__row", "n", "k", "part").mapInArrow(pre_tokenise, "__row bigint, k int, lefts array<int>, rights array<int>, sure boolean")
+    own = chunks.join(_cuts(seen, chunk), ["__row", "k"])
+    body = F.expr("if(k + 1 = n, substr(part, from + 1), substr(part, from + 1, to - from))")
+    pieces = own.groupBy("__row", "doc_id", "piece").agg(F.sort_array(F.collect_list(F.struct("k", body.alias("text")))).alias("p"))
+    pieces = pieces.select("__row", "doc_id", "piece", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 
     def by_piece(batches):
         t = byte_tokenizer(path, pattern)
         for b in batches:
-            ids = [t.encode(x) if not lost else x.encode() for x, lost in zip(b.column("text").to_pylist(), b.column("lost").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__row", "doc_id", "k", "lost")), pa.array(ids, pa.binary())], ["__row", "doc_id", "k", "lost", "ids"])
-
-    def mend(batches):
-        t = byte_tokenizer(path, pattern)
-        for b in batches:
-            ids = [[t.encode(b"".join(x).decode())] if lost else x for x, lost in zip(b.column("ids").to_pylist(), b.column("lost").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.binary()))], ["doc_id", "ids"])
+            ids = [t.encode(x) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__row", "doc_id", "piece")), pa.array(ids, pa.binary())], ["__row", "doc_id", "piece", "ids"])
 
-    done = stitched.mapInArrow(by_piece, f"__row bigint, doc_id {id_type}, k int, lost int, ids binary")
-    done = done.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.max("lost").alias("lost"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
-    done = done.select("doc_id", "lost", F.transform("p", lambda x: x["ids"]).alias("ids")).mapInArrow(mend, f"doc_id {id_type}, ids array<binary>")
-    return short.unionByName(done)
+    done = pieces.mapInArrow(by_piece, f"__row bigint, doc_id {id_type}, piece bigint, ids binary")
+    done = done.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    return short.unionByName(done.select("doc_id", F.transform("p", lambda x: x["ids"]).alias("ids")))
 
 
 def digest(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

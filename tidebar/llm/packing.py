@@ -132,14 +132,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW,
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
-    """sequence_id, ids (array<int> of ``window`` ids): packed pieces with their ids, put together and padded."""
+    """sequence_id, ids (array<int>): packed pieces with their ids, put together and padded to ``window`` ids; a sequence whose
+    length is a power of two stays as long as it is."""
 
     def run(pdf):
         import pandas as pd
 
         raw = b"".join(pdf.sort_values("offset")["ids"])
-        ids = np.full(window, pad_id, dtype=np.int32)
         own = np.frombuffer(raw, "<u4")
+        ids = np.full(window if len(own) & (len(own) - 1) else len(own), pad_id, dtype=np.int32)
         ids[: len(own)] = own
         return pd.DataFrame({"sequence_id": [pdf["sequence_id"].iloc[0]], "ids": [ids]})
 

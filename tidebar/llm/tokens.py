@@ -92,8 +92,8 @@ class _WordCache(ChunkCache):
 class WordTokenizer:
     """ids of a ``tokenizers`` file whose pre-tokenizer drops white space, as little-endian 32-bit numbers.
 
-    Pre-tokens never hold white space, so a text's ids are those of its space-separated chunks in order.
-    Special tokens in a text are ordinary text.
+    Pre-tokens never hold white space, so a text's ids are those of its space-separated chunks in order. As in the
+    library, a special token that a text spells out gets its own id.
     """
 
     def __init__(self, path: str):
@@ -101,8 +101,13 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache = _WordCache(self.tokenizer, self._whole) if _splits_letters(self.tokenizer) else ChunkCache(self._whole)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lowers = _splits_letters(self.tokenizer)
+        self.cache = _WordCache(self.tokenizer, self._whole) if self.lowers else ChunkCache(self._whole)
+        self._plain = any("<" not in t for t in added)
+        # texts with one of these aren't lower-cased here, for its spelling counts; one with white space needs the whole text
+        self.spelt = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        self.spaced = any(any(c.isspace() for c in t) for t in added) or any(t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -110,16 +115,18 @@ class WordTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if text.isascii():
-            text = text.lower()
-        else:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        if _ODD_SPACE.search(text):
+        spelt = "<" in text and self.spelt.search(text) or "<" not in text and self._plain and self.spelt.search(text)
+        if _ODD_SPACE.search(text) or spelt and self.spaced:
             return self._whole(text)
+        if self.lowers and not spelt:
+            if text.isascii():
+                text = text.lower()
+            else:
+                try:
+                    text.encode("latin-1")
+                    text = text.lower()
+                except UnicodeEncodeError:
+                    pass
         return b"".join(map(self.cache.__getitem__, text.split()))
 
     @property
