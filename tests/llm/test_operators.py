@@ -102,22 +102,75 @@ def test_quality_features(docs):
     same(quality.with_features(df), ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"], [(i, *features(t)) for i, t in rows])
 
 
-def test_quality_thresholds(spark):
+def bound(k, n, p):
+    return sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+
+
+def statistics(t):
+    n, chars, symbols, dup, rep, failed = features(t)
+    lines = sum(bool(WORDS.search(x)) for x in (t or "").split("\n"))
+    per = lambda x, of: x * 1000 // max(of, 1)
+    return failed, {"symbols": per(symbols, n), "long_words": per(chars, n), "dup_lines": per(dup, lines), "repeats": per(rep, n)}
+
+
+def quality_expected(rows, labels):
+    """Cutoffs of each stratum and the rows that stay, rule by rule as the method is described."""
+    said = defaultdict(set)
+    for i, q in labels:
+        said[i].add(q)
+    odd, even = defaultdict(list), defaultdict(list)
+    judged = [(i, lang, *statistics(t)) for i, t, lang in rows]
+    for i, lang, failed, stats in judged:
+        if not failed and i is not None and said.get(i) in ({0}, {1}):
+            (odd if zlib.crc32(str(i).encode()) % 2 else even)[lang].append((stats, said[i] == {1}))
+    paths = {}
+    for lang, known in even.items():
+        best = []
+        for at, (rule, (_, cuts)) in enumerate(quality.RULES.items()):
+            gain, lenient = max((sum((-quality.COST if good else 1) * (st[rule] > c) for st, good in known), c) for c in cuts)
+            if gain > 0:
+                best.append((-gain, at, rule, lenient))
+        if best:
+            paths[lang] = [(rule, cut) for _, _, rule, cut in sorted(best)]
+    certified = {}
+    for lang, path in paths.items():
+        good = [st for st, ok in odd[lang] if ok]
+        for n in range(1, len(path) + 1):
+            k = sum(any(st[r] > c for r, c in path[:n]) for st in good)
+            if not good or bound(k, len(good), quality.ALPHA) > quality.DELTA / len(paths):
+                break
+            certified[lang] = dict(path[:n])
+    return certified, [(i, not failed and not any(stats[r] > c for r, c in certified.get(lang, {}).items())) for i, lang, failed, stats in judged]
+
+
+def test_quality_rules_by_hand(spark):
+    """Two strata: in one, good documents outnumber what the bound needs; in the other they don't."""
     words = " ".join(f"w{i}" for i in range(60))
     rows, labels = [], []
-    for i in range(4000):
+    for i in range(3000):
         bad = i % 4 == 0
-        rows.append((i, words + ("".join(f" #{j}" for j in range(200)) if bad else "") + f" x{i}", "en" if i % 20 else "rare"))
-        labels += [(i, 0 if bad else 1, 0)] * (1 + i % 2)
-    docs, lab = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels + [(5, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    cut = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.thresholds(docs, lab).collect()}
-    n, good = 2850, [i for i in range(4000) if i % 4 and i % 20 and zlib.crc32(str(i).encode()) % 2]
-    assert ("en", "symbols") in cut and not any(s == "rare" for s, _ in cut)
-    # by hand: the bad documents have 200 symbols in 261 words; the most lenient cutoff below that wins
-    assert cut["en", "symbols"] == 500 and (1 - quality.ALPHA) ** len(good) <= quality.DELTA / 8 and n
-    kept = quality.score(docs, lab).where("kept").select("doc_id", "lang").collect()
-    assert {r["doc_id"] for r in kept} == {i for i in range(4000) if i % 4 or i % 20 == 0}
-    assert quality.score(docs, lab.limit(0)).where("not kept").count() == 0
+        rows.append((i, words + ("".join(f" #{j}" for j in range(200)) if bad else "") + f" x{i}", "en" if i % 20 else None))
+        labels += [(i, 0 if bad else 1)] * (1 + i % 2)
+    rows += [(i, words + " ###" * 90 if i % 3 else None, "xx") for i in range(5000, 5060)] + [(None, words, "en"), (7, "short", "en")]
+    labels += [(5, None), (None, 1), (9, 0), (9, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    cut, kept = quality_expected(rows, labels)
+    assert set(cut) == {"en"} and cut["en"]["symbols"] == 500
+    same(quality.score(docs, lab), ["doc_id", "kept"], kept)
+    same(quality.score(docs, lab.limit(0)), ["doc_id", "kept"], [(i, not statistics(t)[0]) for i, t, _ in rows])
+    assert quality.score(docs.limit(0), lab).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_rules(spark, sf, monkeypatch):
+    """The whole table against the method in plain Python; on the smallest one with a limit that its few labels can meet."""
+    monkeypatch.setattr(quality, "ALPHA", 0.2 if sf == "sf0.001" else quality.ALPHA)
+    docs, lab = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    cut, kept = quality_expected([tuple(r) for r in docs.select("doc_id", "text", "lang").collect()], [tuple(r) for r in lab.select("doc_id", "quality").collect()])
+    same(quality.score(docs, lab, keep=["doc_id"]), ["doc_id", "kept"], kept)
+    found = quality.thresholds(quality.with_features(docs.select("doc_id", "text", "lang")), lab).collect()
+    assert {(r["stratum"], r["rule"]): r["cutoff"] for r in found} == {(s, r): c for s, rules in cut.items() for r, c in rules.items()}
 
 
 def test_binomial_tail(spark):

@@ -24,7 +24,7 @@ def op1_embedding_neardup(spark, sf_dir):
 
 
 def op2_quality_rules(spark, sf_dir):
-    out = quality.score(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"))
+    out = quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
