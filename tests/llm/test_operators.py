@@ -502,22 +502,34 @@ def vec_expected(rows):
     return [(i, deg[i], comp[i], comp[i] == i) for i in ids]
 
 
-@pytest.mark.parametrize("window", [512, 32])
-def test_embeddings(spark, window, monkeypatch):
-    monkeypatch.setattr(embeddings, "WINDOW", window)
-    monkeypatch.setattr(embeddings.links, "__defaults__", (0.98, window, 7))
+@pytest.mark.parametrize("window,kind", [(64, "float"), (16, "double")])
+def test_embeddings(spark, window, kind):
+    from pyspark.sql import functions as F
+
     rng = np.random.default_rng(5)
     rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in table(spark, "embeddings").collect()]
     base = rng.standard_normal(64)
     rows += [(9000 + i, (base + 0.12 * rng.standard_normal(64)).tolist(), 3) for i in range(150)]
     rows += [(9500, rows[0][1], None), (9501, None, 3), (9502, [], 3), (9503, [0.0] * 64, 3), (9504, [float("nan")] * 64, 3), (9505, [1.0, None], 3), (9506, [float("inf"), 1.0], 3), (9507, [1.0, 2.0], 3), (9508, [2.0, 4.0], 3), (9509, [1e-30, 2e-30], 3), (9510, rows[0][1], rows[0][2])]
     rows += [(9600 + i, base.tolist(), 3) for i in range(20)] + [(9700 + i, (2 * base).tolist(), 3) for i in range(5)] + [(9800, base.tolist(), 2)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
-    rows = [(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e], label) for i, e, label in rows]
-    same(embeddings.near_duplicates(df), ["vec_id", "n_links", "component_id", "kept"], vec_expected(rows))
+    rows += [(None, base.tolist(), 3), (9801, base.tolist(), 2), (9801, base.tolist(), 2)]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>, label int")
+    for c in ("id", "e", "size", "key", "rank", "component", "node"):
+        df = df.withColumn(c, F.lit("clash"))
+    if kind == "float":
+        rows = [(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e], label) for i, e, label in rows]
+    same(embeddings.near_duplicates(df, 0.98, window), ["vec_id", "n_links", "component_id", "kept"], [*vec_expected(rows), (None, 0, None, True)])
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_schedule():
+    """Every label has several passes and a bounded window; the chance of a miss at the threshold stays below the limit."""
+    for size in (1, 59, 218, 512, 513, 10**5, 10**10):
+        bits, passes = embeddings.schedule(size, 0.98)
+        p = (1 - math.acos(0.98) / math.pi) ** bits
+        assert bits >= 4 and passes >= 9 and (1 - p) ** passes <= 1e-6 and next(s for s in embeddings._schedules(0.98, 64) if size <= s[0])[1:] == (bits, passes)
+
+
 # 9 repeated passages
 
 

@@ -10,22 +10,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked
+from .common import discard, materialize, ranked
 from .components import connected
 
-#: Vectors of a window; random bits of a pass's order; chance of missing a link at the threshold; most passes.
-WINDOW, BITS, MISS, MAX_PASSES = 512, 30, 1e-6, 64
+#: Vectors of a window; random bits of a pass's order, and fewest of them that a run shares; chance of missing a link at the threshold.
+WINDOW, BITS, LEAST_BITS, MISS = 64, 30, 4, 1e-6
 
 
-def schedule(largest: int, threshold: float, window: int = WINDOW) -> tuple[int, int]:
-    """(prefix bits, passes) for labels of up to ``largest`` vectors.
+def schedule(size: int, threshold: float, window: int = WINDOW) -> tuple[int, int]:
+    """(prefix bits, passes) for a label of ``size`` vectors.
 
     Vectors that agree in the first bits are always compared, so many bits that a window holds a random run; a
     link at the threshold agrees in all of them with probability (1 - angle/pi)**bits a pass.
     """
-    bits = min(BITS, max(0, math.ceil(math.log2(max(largest, 1) / window)) + 1)) if largest > window else 0
+    bits = min(BITS, max(LEAST_BITS, math.ceil(math.log2(max(size, 1) / window)) + 1))
     p = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    return bits, 1 if p >= 1 else min(MAX_PASSES, max(1, math.ceil(math.log(MISS) / math.log(1 - p))))
+    return bits, 1 if p >= 1 else max(1, math.ceil(math.log(MISS) / math.log(1 - p)))
+
+
+def _schedules(threshold: float, window: int) -> list[tuple[int, int, int]]:
+    """(largest size, bits, passes): the schedule changes where the size passes a power of two times the window."""
+    out = []
+    for bits in range(LEAST_BITS, BITS + 1):
+        out.append(((window << (bits - 1)) if bits < BITS else 1 << 62, *schedule(window << (bits - 1), threshold, window)))
+    return out
 
 
 def _usable(docs: DataFrame) -> DataFrame:
@@ -35,73 +43,96 @@ def _usable(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), e.alias("e")).where(F.coalesce(ok, F.lit(False)))
 
 
-def _signatures(rows: DataFrame, passes: int, seed: int) -> DataFrame:
-    """id, label, dim, vec (unit vector, float64 bytes), key (128 bits of label and vec), sigs (the order of each pass): BITS random signs, high bits first."""
+def _signatures(rows: DataFrame, threshold: float, window: int, seed: int, single: bool) -> DataFrame:
+    """id, label, dim, bits, vec (the components as they came), key (128 bits of label and direction), sigs (the order of each
+    pass): BITS random signs, high bits first, for as many passes as the label's ``size`` asks for."""
+    plan = _schedules(threshold, window)
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for b in batches:
-            vecs, keys, sigs = [], [], []
-            for label, x in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                v = np.array(x.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-                v = v / np.abs(v).max()
-                v = v / np.sqrt((v * v).sum()) + 0.0
+            out = []
+            for i, label, x, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                raw = x.values.to_numpy(zero_copy_only=False).astype(np.float32 if single else np.float64)
+                v = unit(raw[None, :])[0]
                 if (p := planes.get(len(v))) is None:
-                    p = planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((passes, BITS, len(v)))
-                vecs.append(v.tobytes())
-                keys.append(hashlib.blake2b(vecs[-1] + label.encode(), digest_size=16).digest())
-                sigs.append(((p @ v > 0) @ weights).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(v) // 8 for v in vecs], pa.int32()), pa.array(vecs, pa.binary()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "label", "dim", "vec", "key", "sigs"])
+                    p = planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((plan[-1][2], BITS, len(v)))
+                _, bits, passes = next(s for s in plan if size <= s[0])
+                out.append((i, label, len(v), bits, raw.tobytes(), hashlib.blake2b(v.tobytes() + label.encode(), digest_size=16).digest(), ((p[:passes] @ v > 0) @ weights).tolist()))
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "label", "dim", "bits", "vec", "key", "sigs"])
+
+    return rows.select("id", "label", "e", "size").mapInArrow(run, "id bigint, label string, dim int, bits int, vec binary, key binary, sigs array<bigint>")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length in double precision, also of very small and very large vectors."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) + 0.0
+
 
-    return rows.select("id", "label", "e").mapInArrow(run, "id bigint, label string, dim int, vec binary, key binary, sigs array<bigint>")
+def _forest(adjacent: np.ndarray) -> np.ndarray:
+    """The least member of each member's component in a symmetric boolean matrix."""
+    root = np.arange(len(adjacent))
+    reach = adjacent | np.eye(len(adjacent), dtype=bool)
+    while True:
+        new = np.where(reach, root[None, :], len(root)).min(axis=1)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def links(docs: DataFrame, threshold: float = 0.98, window: int = WINDOW, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, members, classes): a, b (a < b), each linked pair of classes once, by their representatives; id and key of
-    each usable vector; key, rep (the least id) and size of each class.
+    """(found, members, classes): found has, from each comparison of windows, a node (the representative of a class), the
+    number n of vectors newly linked with it and a link (node, other) of a forest that spans what the windows link; members has
+    id and key of each usable vector; classes has key, rep (the least id) and size of each class.
 
     Vectors of one label with equal directions are a class, of which only the representative is compared.
 
     In each pass the vectors of a label lie in the order of their random sign bits and are cut into windows of
     ``window``; a window is compared with itself and the next one, and with every later window that a run of
-    equal leading bits reaches, so long runs are compared whole, block by block. A pair is reported by the first
-    pass that brings it together, which the two rows' places tell.
+    equal leading bits reaches, so long runs are compared whole, block by block. A link counts in the first
+    pass that brings its ends together, which the two rows' places tell. The number of bits and passes follows from the
+    label's size.
     """
     rows = _usable(docs).dropDuplicates(["id"])
-    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, passes = schedule(largest, threshold, window)
-    signed = materialize(_signatures(rows, passes, seed), "signatures")
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    single = docs.schema["embedding"].dataType.elementType.simpleString() == "float"
+    signed = materialize(_signatures(rows.join(sizes, "label"), threshold, window, seed, single), "signatures")
     classes = materialize(signed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "vector-classes")
-    vecs = materialize(signed.drop("key").join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "class-signatures")
-    flat = vecs.select("id", "label", "dim", F.posexplode("sigs").alias("pass", "sig"))
+    vecs = materialize(signed.join(classes.select(F.col("rep").alias("id"), "size"), "id").drop("key"), "class-signatures")
+    flat = vecs.select("id", "label", "dim", "bits", F.posexplode("sigs").alias("pass", "sig"))
     groups = ["pass", "label", "dim"]
     # order-preserving pieces: the leading bits of the order
-    sub = F.shiftright("sig", BITS - min(BITS, bits + 4))
+    sub = F.expr(f"shiftright(sig, {BITS} - least({BITS}, bits + 4))")
     placed = ranked(flat, groups, sub, ["sig", "id"], "rank").withColumn("block", F.expr(f"cast(rank div {window} as int)"))
-    placed = materialize(placed, "places").withColumn("prefix", F.shiftright("sig", BITS - bits))
+    placed = materialize(placed.withColumn("prefix", F.expr(f"shiftright(sig, {BITS} - bits)")).select(*groups, "id", "block", "prefix"), "places")
     places = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pass", "block", "prefix"))).alias("p"))
     places = places.select("id", F.transform("p", lambda x: x["block"]).alias("blocks"), F.transform("p", lambda x: x["prefix"].cast("int")).alias("prefixes"))
+    full = materialize(vecs.select("id", "vec", "size").join(places, "id"), "placed-vectors")
     # windows that a run of equal leading bits spans: the first block of each run
     runs = placed.groupBy(*groups, "prefix").agg(F.min("block").alias("run_from"))
     spans = placed.join(runs, [*groups, "prefix"]).groupBy(*groups, "block").agg(F.min("run_from").alias("first"))
     home = placed.select(*groups, "id", "block").join(spans, [*groups, "block"])
     home = home.withColumn("i", F.explode(F.sequence(F.least("first", F.greatest(F.col("block") - 1, F.lit(0))), F.col("block"))))
-    home = home.join(vecs.select("id", "vec"), "id").join(places, "id")
     # a window with itself and the next one is one group; further windows of a run one each
-    home = home.withColumn("j", F.col("block"))
-    far = home.where("block > i + 1").select(*groups, "i", "j").distinct()
-    near = home.where("block <= i + 1").withColumn("j", F.lit(-1))
+    home = home.withColumn("j", F.when(F.col("block") <= F.col("i") + 1, -1).otherwise(F.col("block")))
+    far = home.where("j >= 0").select(*groups, "i", "j").distinct()
     again = home.where("block = i").drop("j").join(far, [*groups, "i"])
-    cols = [*groups, "i", "j", "block", "id", "vec", "blocks", "prefixes"]
-    todo = near.select(*cols).union(again.select(*cols)).union(home.where("block > i + 1").select(*cols))
+    cols = [*groups, "i", "j", "block", "id"]
+    todo = home.select(*cols).union(again.select(*cols)).join(full, "id")
+    kind = np.float32 if single else np.float64
 
     def run(pdf):
         import pandas as pd
 
         at, i, far_one = int(pdf["pass"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]) >= 0
-        u = np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1)
-        ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
+        u = unit(np.frombuffer(b"".join(pdf["vec"]), kind).reshape(len(pdf), -1))
+        ids, block, size = pdf["id"].to_numpy(), pdf["block"].to_numpy(), pdf["size"].to_numpy()
         where, prefix = np.array(pdf["blocks"].tolist()), np.array(pdf["prefixes"].tolist())
         left = np.flatnonzero(block == i)
         hit = u[left] @ u.T >= threshold - 1e-12
@@ -113,25 +144,28 @@ def links(docs: DataFrame, threshold: float = 0.98, window: int = WINDOW, seed:
             x, y = x[ok], y[ok]
         exact = np.einsum("ij,ij->i", u[x], u[y]) >= threshold
         before = ((np.abs(where[x, :at] - where[y, :at]) <= 1) | (prefix[x, :at] == prefix[y, :at])).any(axis=1) if at else np.zeros(len(x), bool)
-        ok = exact & ~before
-        a, b = ids[x[ok]], ids[y[ok]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        x, y = x[exact & ~before], y[exact & ~before]
+        n = np.bincount(x, size[y], len(ids)) + np.bincount(y, size[x], len(ids))
+        adjacent = np.zeros((len(ids), len(ids)), dtype=bool)
+        adjacent[x, y] = adjacent[y, x] = True
+        own = np.flatnonzero(n)
+        return pd.DataFrame({"node": ids[own], "n": n[own].astype(np.int64), "other": ids[_forest(adjacent)[own]]})
 
-    return todo.groupBy(*groups, "i", "j").applyInPandas(run, "a bigint, b bigint"), signed.select("id", "key"), classes
+    found = materialize(todo.groupBy(*groups, "i", "j").applyInPandas(run, "node bigint, n bigint, other bigint"), "vector-links")
+    discard(vecs, placed, full)
+    return found, signed.select("id", "key"), classes
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.98) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.98, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept for each distinct vec_id of ``docs`` (vec_id, embedding, label).
 
     Vectors that are null, empty, zero, or hold a null or non-finite component, and those with a null label or
     id, have no links. Vectors of different lengths aren't compared. Rows that repeat a vec_id are one vector
-    (one of them is used). Other columns are ignored; an empty table gives no rows.
+    (one of them is used); a null vec_id is a row of its own with nulls. Other columns are ignored; an empty table gives no rows.
     """
-    pairs, members, classes = links(docs, threshold)
-    pairs = materialize(pairs, "vector-links")
-    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("rep")).union(pairs.select("b", "a"))
-    degree = ends.join(classes, "rep").groupBy("node").agg(F.sum("size").alias("n"))
-    found = connected(pairs).join(degree, "node")
+    found, members, classes = links(docs, threshold, window)
+    degree = found.groupBy("node").agg(F.sum("n").alias("n"))
+    found = connected(found, "node", "other").join(degree, "node", "left")
     info = classes.join(found, F.col("rep") == F.col("node"), "left")
     info = info.select("key", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
     own = members.join(info, "key").select("id", "n", "component")
