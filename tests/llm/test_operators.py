@@ -384,6 +384,56 @@ def test_language_id(spark):
     assert (test["lang_pred"] == test["lang"]).mean() > 0.97
 
 
+def counted(text):
+    """How often each bucket's n-grams (1 to 3 characters) occur in a text between spaces, one at a time."""
+    codes, n = [ord(c) for c in f" {text.lower()} "], len(f" {text.lower()} ")
+    out = Counter()
+    for i in range(n):
+        h = 0
+        for k in range(langid.N_MAX):
+            c = codes[i + k] if i + k < n else ord(" ")
+            h = (h + c + k + 1) * int(langid._MULT[k]) % 2**64
+            h ^= h >> 29
+            out[(h * int(langid._MULT[0]) % 2**64) >> (64 - langid.BUCKETS.bit_length() + 1)] += 1
+    return out
+
+
+def test_language_id_brute_force(spark):
+    """Counts, probabilities and scores of naive Bayes in plain Python."""
+    rows = [tuple(r) for r in table(spark).select("doc_id", "text", "lang").orderBy("doc_id").limit(70).collect()] + [(9001, None, "en"), (9002, "12 34", None), (9003, "ein Satz ohne Angabe", None)]
+    counts, prior = defaultdict(Counter), Counter()
+    for i, t, lang in rows:
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang] += counted(t)
+            prior[lang] += 1
+    logp = {x: (lambda total, c=c: lambda k: math.log(c[k] + langid.SMOOTH) - math.log(total + langid.SMOOTH * langid.BUCKETS))(sum(c.values())) for x, c in counts.items()}
+    want = {}
+    for i, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            want[i] = ("und", 0.0)
+            continue
+        score = {x: math.log(prior[x] / sum(prior.values())) + sum(n * p(k) for k, n in counted(t).items()) for x, p in logp.items()}
+        best = max(sorted(score), key=score.get)
+        want[i] = (best, 1 / sum(math.exp(s - score[best]) for s in score.values()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.evaluate(docs).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-6) for i in want)
+
+
+def test_language_id_bounds(spark, monkeypatch):
+    """Copies of one text don't defeat the bound of rows, and rare language names beyond the bound aren't learned."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "the same english text again", "en") for i in range(900)] + [(1000 + i, f"der deutsche text {i}", "de") for i in range(30)] + [(2000 + i, f"x{i}", f"l{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    model = langid.fit(docs, max_rows=100)
+    assert model["langs"] == ["de", "en"]
+    out = langid.predict(docs.withColumns({"score": F.lit("own"), "lang_pred": F.lit("own")}), model).groupBy("lang", "lang_pred").count().collect()
+    assert {(r["lang"], r["lang_pred"]) for r in out if r["lang"] in ("de", "en")} == {("de", "de"), ("en", "en")}
+
+
 def test_language_id_odd(spark):
     train = [(100 + i, t, lang) for i in range(8) for t, lang in ((f"the cat sat on mat number {i}", "en"), (f"der hund ist im haus {i} und", "de"))]
     rows = [(i, t, "en" if i == 4 else None) for i, t in ODD] + train
@@ -478,6 +528,104 @@ def test_keep_one_and_repeats(spark):
     assert minhash.keep_one(docs.limit(0)).count() == 0
 
 
+def stage_rows(spark):
+    """Documents of the smallest table with odd rows, and extra columns whose names the stages use themselves."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(i, t, None if k % 3 else "de", "odd", len(t or "")) for k, (i, t) in enumerate(ODD)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    for c in ("score", "lang_pred", "n_words", "kept", "n_bytes", "kept_text", "th", "spots"):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    return docs
+
+
+def plain(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def unclashed(rows):
+    return all(r[c] == f"{c} of {'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in ("score", "lang_pred", "n_words", "kept", "n_bytes", "kept_text", "th", "spots"))
+
+
+def counts_of(rows):
+    return Counter((r["doc_id"], r["text"]) for r in rows)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stage(spark, stage):
+    """Each stage on its own input against plain Python: which rows stay, with which text, and that no column is replaced."""
+    import corpus_pipeline as cp
+
+    docs = stage_rows(spark).repartition(3).cache()
+    rows = plain(docs)
+    out = cp.STAGES[stage][1](spark, docs, SF)
+    if stage == 4:
+        ids = Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in word_ids([(r["doc_id"], r["text"]) for r in rows], 2) if len(x) <= 4096)
+        got = plain(out)
+        assert Counter((r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in got if r["doc_tokens"] <= 4096) == ids and all(0 <= r["offset"] <= 4096 - r["length"] for r in got)
+        return
+    got = plain(out)
+    assert out.columns == docs.columns and unclashed(got)
+    if stage == 0:
+        letters = re.compile(r"[^\W\d_]")
+        want = [r for r in rows if r["text"] and letters.search(r["text"])]
+        assert counts_of(got) <= counts_of(want) and len(want) - len(got) <= 0.02 * len(want)
+        assert all(r["lang"] is not None for r in got)
+    elif stage == 1:
+        labels = [tuple(r) for r in table(spark, "labels").select("doc_id", "quality").collect()]
+        _, kept = quality_expected([(r["doc_id"], r["text"], r["lang"]) for r in rows], labels)
+        assert counts_of(got) == counts_of(r for r, (_, k) in zip(rows, kept, strict=True) if k)
+    elif stage == 2:
+        sets = [shingles(r["text"], 5) for r in rows]
+        comp = groups(range(len(rows)), [(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(sets), 2) if x and y and 100 * len(x & y) >= 80 * len(x | y)])
+        first = {}
+        for i, r in enumerate(rows):
+            if sets[i]:
+                first.setdefault(comp[i], []).append((r["doc_id"] is None, r["doc_id"] or 0))
+        words = [r for r in got if shingles(r["text"], 5)]
+        assert len(words) == len(first) and Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in words) == Counter(min(v) for v in first.values())
+        assert counts_of(r for r in got if not shingles(r["text"], 5)) == counts_of(r for r, s in zip(rows, sets, strict=True) if not s)
+    else:
+        texts = [(r["text"] or "").encode() for r in rows]
+        seen = Counter(t[j : j + 200] for t in texts for j in range(len(t) - 199))
+        want = Counter()
+        for r, t in zip(rows, texts, strict=True):
+            gone = np.zeros(len(t) + 1, dtype=bool)
+            for j in range(len(t) - 199):
+                if seen[t[j : j + 200]] > 1:
+                    gone[j : j + 200] = True
+            left = bytes(x for x, g in zip(t, gone, strict=False) if not g).decode("utf-8", "ignore")
+            if left.strip(" "):
+                want[r["doc_id"], left] += 1
+        assert counts_of(got) == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_pipeline_on_nothing(spark):
+    """Empty tables pass through every stage."""
+    import corpus_pipeline as cp
+
+    docs = stage_rows(spark).limit(0).cache()
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_pipeline_runs(spark):
+    """run() is its stages one after another; every document that is left is packed whole."""
+    import corpus_pipeline as cp
+
+    got = plain(cp.run(spark, SF))
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in by.values():
+        assert [o for o, _ in sorted(v)] == list(itertools.accumulate([0, *(n for _, n in sorted(v))]))[:-1] and sum(n for _, n in v) <= 4096
+    total = Counter()
+    for r in got:
+        total[r["doc_id"]] += r["length"]
+    assert got and all(total[r["doc_id"]] == r["doc_tokens"] for r in got)
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(3)
     both = rng.integers(0, 2**64, 4000, dtype=np.uint64)

@@ -12,7 +12,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Buckets of hashed n-grams (a power of two), longest n-gram, smoothing, and characters handled at once.
 BUCKETS, N_MAX, SMOOTH, CHUNK = 1 << 15, 3, 0.5, 1 << 19
-#: Rows learned from in each language at most (a documented bound), and languages at most.
+#: Rows learned from in each language at most, and languages at most, the most frequent ones (documented bounds). So the model has
+#: at most MAX_LANGS x BUCKETS numbers, 131 MB.
 MAX_ROWS_PER_LANG, MAX_LANGS = 20_000, 500
 UNKNOWN = "und"
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -71,18 +72,18 @@ def _body(starts: np.ndarray, size: int) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS_PER_LANG) -> dict:
     """{"langs": sorted names, "logp": float64 [BUCKETS, langs], "prior": [langs]}, learned from rows with text and lang.
 
-    Of a language with more than ``max_rows`` rows, an even share chosen by the hash of the text is used: a
-    bounded sample. Tasks add up counts in numpy and send the nonzero ones; the result is langs x BUCKETS numbers.
+    Of a language with more than ``max_rows`` rows, an even share chosen by the hash of id and text is used, and of more
+    than MAX_LANGS languages the most frequent: bounded samples. Tasks add up counts in numpy and send the nonzero ones;
+    the result is langs x BUCKETS numbers.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    by = F.xxhash64(*dict.fromkeys([*(["doc_id"] if "doc_id" in docs.columns else []), text]))
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), by.alias("by")).where("text is not null and lang is not null")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "logp": np.zeros((BUCKETS, 0)), "prior": np.zeros(0)}
     share = F.create_map(*(x for name in langs for x in (F.lit(name), F.lit(int(2**31 * min(1.0, max_rows / sizes[name]))))))
-    rows = rows.where((F.xxhash64("text") % 2**31 + 2**31) % 2**31 < F.element_at(share, F.col("lang")))
+    rows = rows.where(F.pmod("by", F.lit(2**31)) < F.try_element_at(share, F.col("lang"))).select("text", "lang")
 
     def count(batches):
         index = {name: i for i, name in enumerate(langs)}
