@@ -298,8 +298,9 @@ def test_licenses(spark):
     wrapped = mit.replace(" of ", " of\n")
     bsd = "\n".join(licenses.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"))
     rows = [(1, mit), (2, wrapped), (3, "\n".join(reversed(mit.split("\n\n")))), (4, bsd), (5, bsd.rsplit("\n", 1)[0]), (6, "Licensed under CC BY-NC 4.0. And so on.\nReleased under the MIT License."), (7, None), (8, "no licence"), (8, "no licence")]
-    got = {(r["doc_id"], r["licenses"], r["clean"]) for r in licenses.scan(frame(spark, rows)).collect()}
-    assert got == {(1, "MIT", False), (2, "MIT", False), (3, "", True), (4, "BSD-3-Clause", False), (5, "BSD-2-Clause", False), (6, "MIT|CC-BY-NC-4.0", False), (7, "", True), (8, "", True)}
+    rows += [(9, "word " * 200_000 + "\nReleased under the MIT License.\n" + "line\n" * 50_000), (None, "Licensed under CC0 1.0.")]
+    got = sorted(((r["doc_id"] or 0, r["licenses"], r["clean"]) for r in licenses.scan(frame(spark, rows)).collect()))
+    assert got == sorted([(9, "MIT", False), (0, "CC0-1.0", False), (1, "MIT", False), (2, "MIT", False), (3, "", True), (4, "BSD-3-Clause", False), (5, "BSD-2-Clause", False), (6, "MIT|CC-BY-NC-4.0", False), (7, "", True), (8, "", True), (8, "", True)])
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
@@ -343,6 +344,35 @@ modification, are permitted provided that the following conditions are met:
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
 """
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+MIT0 = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
+software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
 GPL = """This {w} is free software; you can redistribute it and/or
 modify it under the terms of the GNU {k}General Public License
 as published by the Free Software Foundation; either version {v}
@@ -355,7 +385,8 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
 
 
 def test_licenses_as_published(spark):
-    texts = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (ISC, "ISC"), (BSD3, "BSD-3-Clause"), (BSD3[: BSD3.index("3. N")], "BSD-2-Clause")]
+    texts = [(ZLIB, "Zlib"), (MIT0, "MIT-0"), ("Eclipse Public License - v 2.0\n", "EPL-2.0"), ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.\n", "CC-BY-SA-4.0"), ("Distributed under the Boost Software License, Version 1.0.\n", "BSL-1.0")]
+    texts += [(APACHE, "Apache-2.0"), (MIT, "MIT"), (ISC, "ISC"), (BSD3, "BSD-3-Clause"), (BSD3[: BSD3.index("3. N")], "BSD-2-Clause")]
     kinds = [("program", "", "2", "GPL-2.0"), ("program", "", "3", "GPL-3.0"), ("library", "Lesser ", "2.1", "LGPL-2.1"), ("library", "Lesser ", "3", "LGPL-3.0"), ("program", "Affero ", "3", "AGPL-3.0")]
     texts += [(GPL.format(w=w, k=k, v=v), name) for w, k, v, name in kinds]
     texts += [("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", "GPL-2.0"), ("This project is licensed under the terms of the\nMIT license.", "MIT"), ("// SPDX-License-Identifier: LGPL-2.1-or-later\n", "LGPL-2.1")]

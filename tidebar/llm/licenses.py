@@ -51,7 +51,7 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense-free"]),
 ]
 #: A licence whose rule another licence's rule includes is left out where that one matches.
-COVERED = {"BSD-2-Clause": "BSD-3-Clause"}
+COVERED = {"BSD-2-Clause": ["BSD-3-Clause", "BSD-4-Clause"]}
 #: Further sentences that only scan() knows, oracle() doesn't: headers and titles as published.
 MORE_SENTENCES: dict[str, str] = {
     "mit-notice-next": "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.",
@@ -72,6 +72,44 @@ MORE_SENTENCES: dict[str, str] = {
     "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     "mpl2-title": "Mozilla Public License Version 2.0",
     "mpl2-copy-http": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mit0-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "mit-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "mit-liable": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-origin": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "zlib-altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution.",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "epl1-title": "Eclipse Public License - v 1.0",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl2-made": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "artistic2-title": "The Artistic License 2.0",
+    "artistic2-terms": "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.",
+    "cddl1-title": "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0",
+    "mspl-title": "Microsoft Public License (Ms-PL)",
+    "ofl-grant": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "postgresql-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "wtfpl-terms": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "mpl11-terms": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
+    "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-sa-name": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-name": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-name": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-name": "Licensed under CC BY-NC-ND 4.0.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 MORE_RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-grant", "mit-notice-next"]),
@@ -92,6 +130,33 @@ MORE_RULES: list[tuple[str, list[str]]] = [
     ("LGPL-3.0", ["lgpl3-title"]),
     ("AGPL-3.0", ["gpl-free", "agpl-terms-3", "gpl-hope"]),
     ("AGPL-3.0", ["agpl3-title"]),
+    ("MIT-0", ["mit0-grant", "mit-as-is", "mit-liable"]),
+    ("0BSD", ["0bsd-grant", "isc-as-is"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-as-is"]),
+    ("Zlib", ["zlib-as-is", "zlib-liable", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice"]),
+    ("BSL-1.0", ["boost-title"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("EPL-1.0", ["epl1-title"]),
+    ("EPL-2.0", ["epl2-title"]),
+    ("EPL-2.0", ["epl2-made"]),
+    ("Artistic-2.0", ["artistic2-title", "artistic2-terms"]),
+    ("CDDL-1.0", ["cddl1-title"]),
+    ("MS-PL", ["mspl-title"]),
+    ("OFL-1.1", ["ofl-grant"]),
+    ("PostgreSQL", ["postgresql-grant"]),
+    ("WTFPL", ["wtfpl-terms"]),
+    ("MPL-1.1", ["mpl11-terms"]),
+    ("CC-BY-4.0", ["cc-by-work"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-work"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-name"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-work"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-work"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-name"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-work"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-name"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-work"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-name"]),
+    ("Unlicense", ["unlicense-anyone"]),
 ]
 #: Ways to name a licence in one sentence, and the names of each.
 NAMED = ["Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This project is licensed under the {}.", "This project is licensed under the terms of the {}.", "This software is licensed under the {}."]
@@ -107,7 +172,12 @@ NAMES: dict[str, list[str]] = {
     "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"],
     "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"],
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"],
-    **{n: [] for n in ("CC-BY-NC-4.0", "CC-BY-4.0", "CC0-1.0", "Unlicense")},
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License, version 2.0"],
+    "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License, version 1.0"],
+    "Zlib": ["zlib License"],
+    "OFL-1.1": ["SIL Open Font License, Version 1.1"],
+    **{n: [] for n in ("CC-BY-NC-4.0", "CC-BY-4.0", "CC0-1.0", "Unlicense", "MIT-0", "0BSD", "BSD-4-Clause", "Artistic-2.0", "CDDL-1.0", "MS-PL", "PostgreSQL", "WTFPL", "MPL-1.1", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")},
 }
 SPDX, SPDX_ENDS = "SPDX-License-Identifier: {}", {"GPL-2.0": ["-only", "-or-later", "+"], "GPL-3.0": ["-only", "-or-later", "+"], "LGPL-2.1": ["-only", "-or-later", "+"], "LGPL-3.0": ["-only", "-or-later", "+"], "AGPL-3.0": ["-only", "-or-later", "+"]}
 #: Sentence that names its holder, in normal form with line ends as they come.
@@ -177,8 +247,9 @@ def scan(docs: DataFrame) -> DataFrame:
         if (name, ids) in RULES:
             cond = F.col("sentence_ids").like(like) | F.col("flow").like(like) | cond
         hit[name] = hit[name] | cond if name in hit else cond
-    for name, by in COVERED.items():
-        hit[name] = hit[name] & ~hit[by]
+    for name, others in COVERED.items():
+        for by in others:
+            hit[name] = hit[name] & ~hit[by]
     found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in hit.items())))
     df = df.withColumn("found", found)
     return df.select("doc_id", "sentence_ids", F.array_join("found", "|").alias("licenses"), F.size("found").cast("long").alias("n_licenses"), (F.size("found") == 0).alias("clean"))
@@ -198,7 +269,7 @@ def oracle() -> str:
         hit[name] = f"{hit[name]} or {cond}" if name in hit else cond
     cases = []
     for name, cond in hit.items():
-        cond = f"({cond})" + (f" and not ({hit[COVERED[name]]})" if name in COVERED else "")
+        cond = f"({cond})" + "".join(f" and not ({hit[by]})" for by in COVERED.get(name, []) if by in hit)
         cases.append(f"case when {cond} then {_quoted(name)} end")
     return f"""
 with known(s, i) as (values {values}),
