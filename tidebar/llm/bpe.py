@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import byte_tokenizer, seam
+from .tokens import byte_decoder, byte_tokenizer, seam
 
 #: Characters of a chunk and of its overlap with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -94,15 +94,15 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     return short.unionByName(done.select("doc_id", F.transform("p", lambda x: x["ids"]).alias("ids")))
 
 
-def digest(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the ids are decoded by joining their tokens' bytes."""
 
     def run(batches):
-        t = byte_tokenizer(path, pattern)
+        t = byte_decoder(path)
         for b in batches:
             out = []
-            for parts in b.column("ids").to_pylist():
-                ids = np.frombuffer(b"".join(parts), dtype="<u4")
+            for parts in b.column("ids"):
+                ids = np.frombuffer(b"".join(parts.as_py()), dtype="<u4")
                 text = ",".join(map(t.decimal.__getitem__, ids.tolist()))
                 out.append((len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest()))
             n, a, c = zip(*out, strict=True) if out else ((), (), ())

@@ -32,7 +32,7 @@ def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
 def op4_license_scan(spark, sf_dir):

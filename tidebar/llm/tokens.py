@@ -20,6 +20,8 @@ _loaded: dict[tuple, object] = {}
 class ChunkCache(dict):
     """chunk -> encoded bytes; full caches are emptied."""
 
+    limit = MAX_CACHED
+
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode = encode
@@ -30,7 +32,7 @@ class ChunkCache(dict):
             out = self[key[:-1]] + self.mark(key[-1])
         else:
             out = self.encode(key)
-        if len(self) >= MAX_CACHED:
+        if len(self) >= self.limit:
             self.clear()
         self[key] = out
         return out
@@ -83,7 +85,7 @@ class _WordCache(ChunkCache):
         else:
             symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             out = np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
-        if len(self) >= MAX_CACHED:
+        if len(self) >= self.limit:
             self.clear()
         self[key] = out
         return out
@@ -137,22 +139,22 @@ class WordTokenizer:
 class _SpacedCache(ChunkCache):
     """Chunks stand behind one space, except those that begin with their newline."""
 
+    limit = MAX_CACHED * 2 // 5  # two Python workers a task, where the other tokenizers have one
+
     def encode_mark(self, key: str) -> bytes:
         return self.plain(key)
 
 
-class ByteTokenizer:
-    """ids of a rank file with a splitting pattern, as little-endian 32-bit numbers, and their bytes.
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
-    A single space or newline between non-space characters always begins a pre-token; only there is a text cut.
-    """
 
-    def __init__(self, path: str, pattern: str):
-        import tiktoken
+class ByteDecoder:
+    """The bytes of a rank file's ids, and the ids as decimal text."""
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, path: str):
+        ranks = _ranks(path)
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
@@ -160,6 +162,24 @@ class ByteTokenizer:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.decimal = [str(i) for i in range(len(tokens))]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        shift = np.repeat(self.starts[ids] - (ends - n), n)
+        return self.flat[np.arange(len(shift)) + shift].tobytes()
+
+
+class ByteTokenizer:
+    """ids of a rank file with a splitting pattern, as little-endian 32-bit numbers.
+
+    A single space or newline between non-space characters always begins a pre-token; only there is a text cut.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
         self.cache = _SpacedCache(lambda chunk: self._whole(chunk if chunk[0] == "\n" else " " + chunk))
         self.cache.plain = self._whole
 
@@ -174,12 +194,6 @@ class ByteTokenizer:
             return b"".join(self._whole(p) for p in _glued(chunks))
         return self._whole(chunks[0]) + b"".join(map(self.cache.__getitem__, chunks[1:]))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        shift = np.repeat(self.starts[ids] - (ends - n), n)
-        return self.flat[np.arange(len(shift)) + shift].tobytes()
-
 
 def seam(text: str, i: int) -> bool:
     """Whether every tokenisation has a pre-token boundary at i: an isolated space or newline between non-space characters."""
@@ -207,3 +221,9 @@ def byte_tokenizer(path: str, pattern: str) -> ByteTokenizer:
     if ("byte", path, pattern) not in _loaded:
         _loaded["byte", path, pattern] = ByteTokenizer(path, pattern)
     return _loaded["byte", path, pattern]
+
+
+def byte_decoder(path: str) -> ByteDecoder:
+    if ("bytes", path) not in _loaded:
+        _loaded["bytes", path] = ByteDecoder(path)
+    return _loaded["bytes", path]
