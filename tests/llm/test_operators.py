@@ -223,7 +223,9 @@ def test_word_ids_of_odd_words():
         assert t.encode(text) + b"\2\0\0\0" == word_ids([(None, text)], 2)[0][1].tobytes()
 
 
-def test_packed_files(docs, monkeypatch):
+@pytest.mark.parametrize("file_ids", [binary.FILE_IDS, 500])
+def test_packed_files(docs, file_ids, monkeypatch):
+    monkeypatch.setattr(binary, "FILE_IDS", file_ids)
     df, rows = docs
     got = [tuple(r) for r in binary.read(*binary.write(df, WORD_BPE, 1)).select("start", "doc_id", "n_tokens", "ids_crc32").collect()]
     got.sort()

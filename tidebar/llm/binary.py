@@ -146,8 +146,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1) -> tuple[str, DataFr
 def read(folder: str, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, unpacked from the files."""
     spark = files.sparkSession
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    starts = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    # starts of parts from one row a part, and of files inside their part
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("at"))
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.withColumn("inside", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(parts, "part").select("file", (F.col("at") + F.col("inside")).alias("base"))
     n = files.count()
     if not n:
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
