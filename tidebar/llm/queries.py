@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, embeddings, langid, licenses, minhash, packing, quality, sharding, suffix
+from . import binary, bpe, embeddings, langid, licenses, minhash, oracles, packing, quality, sharding, suffix
 
 N_SHARDS = 40
 
@@ -65,4 +65,11 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_quality_rules, op3_byte_bpe, op4_license_scan, op5_language_id, op6_hyperminhash, op7_jump_sharding, op8_packed_tokens, op9_suffix_dedup, op10_packing)}
-ORACLE_SQL = {"op4_license_scan": licenses.oracle()}
+ORACLE_SQL = {
+    "op1_embedding_neardup": oracles.embedding_neardup(0.98),
+    "op2_quality_rules": oracles.quality_rules(),
+    "op4_license_scan": licenses.oracle(),
+    "op6_hyperminhash": oracles.shingle_neardup(k=4, percent=80),
+    "op7_jump_sharding": oracles.jump_shards(N_SHARDS),
+    "op9_suffix_dedup": oracles.repeated_bytes(200),
+}
