@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 from .tokens import byte_decoder, byte_tokenizer, seam
 
 #: Characters of a chunk and of its overlap with the next one.
@@ -56,7 +56,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 
     def whole(batches):
         t = byte_tokenizer(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[t.encode(x)] for x in b.column(1).to_pylist()], pa.list_(pa.binary()))], ["doc_id", "ids"])
 
     id_type = dict(docs.dtypes)["doc_id"]
@@ -66,7 +66,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     chunks = materialize(chunks.select("__row", "doc_id", "n", "k", F.expr(f"substr(text, k * {chunk} + 1, {chunk + overlap})").alias("part")).repartition("__row", "k"), "chunks")
 
     def pre_tokenise(batches):
-        for b in batches:
+        for b in sliced(batches):
             left, right, sure = [], [], []
             for part, k, last in zip(b.column("part").to_pylist(), b.column("k").to_pylist(), b.column("n").to_pylist(), strict=True):
                 at = np.array(boundaries(pattern, part), dtype=np.int64)
@@ -85,7 +85,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 
     def by_piece(batches):
         t = byte_tokenizer(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             ids = [t.encode(x) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__row", "doc_id", "piece")), pa.array(ids, pa.binary())], ["__row", "doc_id", "piece", "ids"])
 
@@ -99,7 +99,7 @@ def digest(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         t = byte_decoder(path)
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for parts in b.column("ids"):
                 ids = np.frombuffer(b"".join(parts.as_py()), dtype="<u4")

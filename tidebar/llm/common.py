@@ -72,6 +72,13 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches of at most ``rows`` rows, so that a worker turns only so many texts into Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def ranked(df: DataFrame, groups: list[str], sub: Column, order: list, out: str) -> DataFrame:
     """Gapless 0-based rank of each row inside its group, by ``sub`` and then by ``order``.
 
