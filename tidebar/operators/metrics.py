@@ -149,7 +149,7 @@ def assess(df: DataFrame, n_tried: Column, min_trades: int = MIN_TRADES, margin:
 
 
 def holdout_verdict() -> Column:
-    """Of holdout_trades, holdout_expectancy_R against expectancy_R."""
+    """Of holdout_trades, holdout_expectancy_R against expectancy_R; NULL without a holdout."""
     e = F.col("holdout_expectancy_R")
-    return F.when(F.col("holdout_trades") < 30, "INCONCLUSIVE").when(e <= 0, "FAILED").when(e < 0.5 * F.col("expectancy_R"), "WEAK").otherwise("HELD UP")
+    return F.when(F.col("holdout_trades").isNull(), None).when(F.col("holdout_trades") < 30, "INCONCLUSIVE").when(e <= 0, "FAILED").when(e < 0.5 * F.col("expectancy_R"), "WEAK").otherwise("HELD UP")
 

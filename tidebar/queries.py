@@ -13,6 +13,7 @@ from .functions import rolling as R
 from .operators import bars as B
 from .operators import features, labels, metrics, registry, walk
 from .plans import genome as G
+from .plans import report, search
 
 LABEL = {"tp": 2.0, "sl": 1.0, "max_bars": 12, "cost": 0.05}
 TRAIN, TEST = 200, 60
@@ -121,21 +122,58 @@ def filter_static_mask(spark, sf):
     return df.groupBy("symbol").agg(F.count_if("ok").alias("admitted"), F.count(F.lit(1)).alias("n")).withColumn("enough", walk.capacity(F.col("admitted"), 12, 20))
 
 
-def _trades(bars: DataFrame) -> DataFrame:
+def _walked(bars: DataFrame, max_per_day: int | None = None) -> DataFrame:
     df = walk.momentum_signal(labelled(bars)).withColumn("direction", walk.signal(0.6, 0.6, 0.1))
-    taken = walk.one_position(walk.candidates(walk.in_windows(df, walk.fold_windows(bars, TRAIN, TEST, LABEL["max_bars"]))), ["symbol", "fold"])
-    return taken.select("symbol", big("fold", "fold"), "bar_idx", "exit_idx", big("direction", "direction"), r6("R", "r"))
+    df = walk.in_windows(df, walk.fold_windows(bars, TRAIN, TEST, LABEL["max_bars"]))
+    return walk.one_position(walk.candidates(df), ["symbol", "fold"], max_per_day)
+
+
+def _trades(bars: DataFrame, max_per_day: int | None = None) -> DataFrame:
+    return _walked(bars, max_per_day).select("symbol", big("fold", "fold"), "bar_idx", "exit_idx", big("direction", "direction"), r6("R", "r"))
 
 
 def trades_one_position(spark, sf):
     return _trades(hourly(spark, sf))
 
 
-def trades_whole_market(spark, sf):
-    """The trade walk over one series of all ticks, whatever their symbol: long enough for folds on the smallest table too."""
+def market(spark, sf) -> DataFrame:
+    """Hourly bars of all ticks as one series, whatever their symbol: long enough for folds on the smallest table too."""
     t = _t(spark, sf, "events").select(F.lit("all").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), (1 + F.col("user_id") % 9).cast("double").alias("volume"))
-    bars = B.tag_sessions(B.indexed(B.ticks_to_bars(t, "1h", ["event_id"])))
-    return _trades(bars)
+    return B.tag_sessions(B.indexed(B.ticks_to_bars(t, "1h", ["event_id"])))
+
+
+def trades_whole_market(spark, sf):
+    return _trades(market(spark, sf))
+
+
+def trades_daily_quota(spark, sf):
+    """The trade walk with at most one trade a session."""
+    return _trades(market(spark, sf), max_per_day=1)
+
+
+def trade_log(spark, sf):
+    bars = market(spark, sf)
+    log = walk.trade_log(_walked(bars), bars)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return log.select(*(text(c) if c.endswith("_time") else big(c, c) if c in ("fold", "bars_held") else c for c in log.columns))
+
+
+def trend_filter(spark, sf):
+    df = features.build_features(hourly(spark, sf), ["trend"])
+    side = lambda d: F.count_if(walk.trend_aligned(F.lit(d)))
+    return df.groupBy("symbol").agg(side(1).alias("long_ok"), side(-1).alias("short_ok"))
+
+
+def holdout_cut(spark, sf):
+    o = _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), "o_orderkey", F.col("o_totalprice").alias("price"), F.lit(1.0).alias("volume"))
+    return walk.holdout_cut(B.ticks_to_bars(o, "1d", ["o_orderkey"]), 6).select("symbol", F.col("cut_ts").cast("date").cast("string").alias("cut_day"), "cut_idx")
+
+
+def bars_time_range(spark, sf):
+    """Sound bars of a span of days, both ends included, where every fifth volume is missing."""
+    raw = raw_bars(spark, sf).withColumn("volume", F.expr("if(volume % 5 = 0, null, volume)"))
+    df = B.time_range(B.valid_bars(raw), "1994-03-01", "1996-06-30")
+    return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("volume") == 0).alias("without_volume"), r6(F.sum("volume"), "volume"))
 
 
 def genome_fingerprints(spark, sf):
@@ -171,6 +209,36 @@ def score_haircut(spark, sf):
     return df.select("strategy", r6("score", "score"), r6("final", "final_score"), big("folds", "folds"), r6("fold_win_rate", "fold_win_rate"), r6("fold_R_std", "fold_std"), r6("concentration", "concentration"), big("passed", "passed"), "tier")
 
 
+def metrics_with_empty(spark, sf):
+    """Metrics of strategies of which some never traded."""
+    known = _t(spark, sf, "part").select((F.col("p_partkey") % 50).alias("strategy")).distinct()
+    m = metrics.with_empty(metrics.r_metrics(_r_rows(spark, sf), ["strategy"], ORDER), known, ["strategy"])
+    return m.select("strategy", big("trades", "trades"), r6("total_R", "total_r"), r6("profit_factor", "profit_factor"), r6("t_stat", "t_stat"), r6("score", "score"))
+
+
+def equity_curve(spark, sf):
+    return report.equity(_r_rows(spark, sf), ["strategy"], ORDER).select("strategy", big("n", "n"), r6("equity", "equity"), r6("peak", "peak"))
+
+
+def _figures(spark, sf) -> DataFrame:
+    """Recorded figures of strategies, made from the keys of customer by _FIGURES."""
+    return _t(spark, sf, "customer").select("c_custkey", *(F.expr(x).alias(n) for n, x in _FIGURES.items()))
+
+
+def tiers_and_holdout(spark, sf):
+    df = metrics.assess(_figures(spark, sf), F.lit(40))
+    return df.select("c_custkey", big("passed", "passed"), big("total", "total"), "tier", metrics.holdout_verdict().alias("verdict"))
+
+
+def registry_rescored(spark, sf):
+    """Scores from the recorded JSON figures, of which some lack the t-statistic or the payoff ratio."""
+    f = _figures(spark, sf)
+    known = f.withColumns({"t_stat": F.expr("if(c_custkey % 3 = 0, null, t_stat)"), "payoff_ratio": F.expr("if(c_custkey % 2 = 0, null, payoff_ratio)")})
+    known = known.withColumnsRenamed({"folds": "fold_folds", "fold_win_rate": "fold_fold_win_rate", "concentration": "fold_concentration"})
+    df = known.select(F.col("c_custkey").cast("string").alias("fingerprint"), F.lit("ok").alias("status"), F.lit(0.0).alias("score"), F.to_json(F.struct(*search.FIGURES)).alias("metrics"))
+    return search.rescored(df).select("fingerprint", r6("new", "score"))
+
+
 def noise_ceiling(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", r6(metrics.noise_ceiling(F.col("p_partkey")), "ceiling"))
 
@@ -203,6 +271,15 @@ def elites_niched(spark, sf):
     return registry.niched_elites(state(spark, sf), 25).select("fingerprint", r6("score", "score"), "niche", big("place", "place"))
 
 
+#: Figures of tiers_and_holdout and registry_rescored, in both dialects.
+_FIGURES = {
+    "trades": "c_custkey % 13 * 25e0", "expectancy_R": "c_custkey % 17 / 20e0 - 1e-1", "sharpe": "c_custkey % 13 / 4e0 - 1", "recovery_factor": "1 + c_custkey % 6 * 8e-1",
+    "payoff_ratio": "15e-1 + c_custkey % 5 * 4e-1", "t_stat": "c_custkey % 11 * 6e-1", "trades_per_year": "c_custkey % 5 * 60e0", "avg_win_R": "c_custkey % 7 / 2e0", "avg_loss_R": "0e0 - c_custkey % 4 / 3e0",
+    "folds": "c_custkey % 6 * 1e0", "fold_win_rate": "55e-2 + c_custkey % 4 * 8e-2", "concentration": "3e-1 + c_custkey % 7 * 1e-1",
+    "holdout_trades": "case when c_custkey % 3 != 0 then c_custkey % 60 end", "holdout_expectancy_R": "case when c_custkey % 3 != 0 then (c_custkey % 41 - 10) / 50e0 end",
+}
+
+
 # the same in SQL
 
 
@@ -444,3 +521,42 @@ QUERIES = {
     "genome_fingerprints": (genome_fingerprints, _genome_sql()),
 }
 QUERIES["trades_whole_market"] = (trades_whole_market, _whole_market(QUERIES["trades_one_position"][1]))
+_FIG = "fig as (select c_custkey, " + ", ".join(f"{x} as {n}" for n, x in _FIGURES.items()) + " from customer)"
+_LAST = QUERIES["trades_whole_market"][1].rpartition(" select c.symbol, c.fold")[0]
+_STEPS = _LAST[: _LAST.index("wk as (")]
+_PASSED = f"(expectancy_R > 0)::int + (t_stat >= {_ceiling('40.0')} + 0.5)::int + (payoff_ratio >= 2)::int + (trades >= 200)::int + (fold_win_rate >= 0.65)::int + (concentration <= 0.45)::int + (recovery_factor >= 2)::int"
+QUERIES |= {
+    "trades_daily_quota": (
+        trades_daily_quota,
+        _STEPS + "cd as (select c.*, b.session_date as day from c join b using (symbol, bar_idx)), "
+        "wk as (select symbol, fold, min(bar_idx) as bar_idx, arg_min(exit_idx, bar_idx) as exit_idx, arg_min(day, bar_idx) as day, 1 as used from cd group by 1, 2 union all "
+        "select cd.symbol, cd.fold, min(cd.bar_idx), arg_min(cd.exit_idx, cd.bar_idx), arg_min(cd.day, cd.bar_idx), arg_min(case when cd.day = wk.day then wk.used + 1 else 1 end, cd.bar_idx) "
+        "from wk join cd on cd.symbol = wk.symbol and cd.fold = wk.fold and cd.bar_idx > wk.exit_idx and (cd.day != wk.day or wk.used < 1) group by cd.symbol, cd.fold) "
+        f"select c.symbol, c.fold::bigint as fold, c.bar_idx, c.exit_idx, c.direction::bigint as direction, {_r('c.r', 'r')} from wk join c using (symbol, fold, bar_idx)",
+    ),
+    "trade_log": (
+        trade_log,
+        _LAST + " select c.symbol, c.fold::bigint as fold, " + ", ".join(f"strftime({x}, '%Y-%m-%d %H:%M:%S') as {n}" for n, x in {"signal_time": "s.ts", "entry_time": "n.ts", "exit_time": "o.ts"}.items())
+        + ", case c.direction when 1 then 'long' else 'short' end as direction, "
+        + ", ".join(f"round_even({x}, {k}) as {n}" for n, x, k in [("entry_price", "y.entry", 2), ("stop_price", "y.entry - c.direction * y.atr", 2), ("target_price", "y.entry + 2 * c.direction * y.atr", 2), ("exit_price", "y.entry + c.r * y.atr * c.direction", 2), ("risk_points", "y.atr", 2), ("confidence", "case c.direction when 1 then y.pl else 1 - y.pl end", 4), ("R", "c.r", 4)])
+        + ", (c.exit_idx - c.bar_idx)::bigint as bars_held from wk join c using (symbol, fold, bar_idx) join di0 y using (symbol, bar_idx) join b s using (symbol, bar_idx) join b n on n.symbol = c.symbol and n.bar_idx = c.bar_idx + 1 join b o on o.symbol = c.symbol and o.bar_idx = c.exit_idx",
+    ),
+    "trend_filter": (trend_filter, f"with recursive {_B}, {_P}, {_ATR}, {_EMAS(200)} select symbol, count(*) filter (where atr14 <> 0 and close >= ema200) as long_ok, count(*) filter (where atr14 <> 0 and close <= ema200) as short_ok from q {_JOIN('atr14', 'ema200')} group by 1"),
+    "holdout_cut": (holdout_cut, "with d as (select distinct o_orderpriority as symbol, o_orderdate::date as ts from orders), k as (select symbol, max(ts) - interval 6 months as cut from d group by 1) select symbol, strftime(cut, '%Y-%m-%d') as cut_day, count(*) filter (where ts < cut) as cut_idx from d join k using (symbol) group by symbol, cut"),
+    "bars_time_range": (bars_time_range, f"with {_RAW} select symbol, count(*) as n, count(*) filter (where volume % 5 = 0) as without_volume, {_r('sum(case when volume % 5 = 0 then 0 else volume end)', 'volume')} from raw where high >= low and high >= greatest(open, close) - 1e-9 and low <= least(open, close) + 1e-9 and close > 0 and ts between '1994-03-01' and '1996-06-30' group by 1"),
+    "metrics_with_empty": (metrics_with_empty, f"with {_RR}, {_metrics('strategy', 'm')}, {_SCORE}, k as (select distinct p_partkey % 50 as strategy from part) select strategy, coalesce(trades, 0) as trades, {_r('coalesce(total_R, 0)', 'total_r')}, {_r('coalesce(profit_factor, 0)', 'profit_factor')}, {_r('coalesce(t_stat, 0)', 't_stat')}, {_r('coalesce(score, -1)', 'score')} from k left join sc using (strategy)"),
+    "equity_curve": (equity_curve, f"with {_RR}, e as (select strategy, row_number() over w as n, sum(r) over w as equity, count(*) over (partition by strategy) as size from rr window w as (partition by strategy order by entry_time, l_orderkey, l_linenumber rows unbounded preceding)), p as (select *, greatest(0, max(equity) over (partition by strategy order by n)) as peak from e) select strategy, n, {_r('equity', 'equity')}, {_r('peak', 'peak')} from p where n = size or (n - 1) % greatest(1, ceil(size / 1400))::bigint = 0"),
+    "tiers_and_holdout": (
+        tiers_and_holdout,
+        f"with {_FIG}, x as (select *, {_PASSED} as passed from fig) select c_custkey, passed::bigint as passed, (7 + (holdout_trades is not null)::int)::bigint as total, "
+        "case when holdout_trades is not null and not (holdout_expectancy_R > 0 and holdout_trades >= 30) then '' when holdout_trades is not null and passed = 7 then 'confirmed' when passed = 7 then 'candidate' when passed = 6 then 'watch' else '' end as tier, "
+        "case when holdout_trades is null then null when holdout_trades < 30 then 'INCONCLUSIVE' when holdout_expectancy_R <= 0 then 'FAILED' when holdout_expectancy_R < 0.5 * expectancy_R then 'WEAK' else 'HELD UP' end as verdict from x",
+    ),
+    "registry_rescored": (
+        registry_rescored,
+        f"with {_FIG}, m as (select * replace (case when c_custkey % 3 = 0 then case when trades_per_year > 0 then round_even(sharpe / sqrt(trades_per_year) * sqrt(trades), 3) else 0 end else t_stat end as t_stat, "
+        "case when c_custkey % 2 = 0 then case when avg_loss_R < -1e-9 then round_even(avg_win_R / abs(avg_loss_R), 3) when avg_win_R > 0 then 10 else 0 end else payoff_ratio end as payoff_ratio) from fig), "
+        f"{_SCORE}, y as (select *, case when trades = 0 then -1 else score end as own from sc) select c_custkey::varchar as fingerprint, "
+        + _r("case when folds < 3 or own <= 0 then own else round_even(own * (0.4 + 0.6 * fold_win_rate) * case when concentration > 0.7 then 1 - (concentration - 0.7) else 1 end, 5) end", "score") + " from y",
+    ),
+}
