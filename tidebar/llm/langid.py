@@ -1,4 +1,4 @@
-"""Language ID: multinomial naive Bayes over hashed character n-grams, scored in numpy."""
+"""Language ID: multinomial naive Bayes over hashed character n-grams, scored in numpy as sparse counts times log-probabilities."""
 
 from __future__ import annotations
 
@@ -69,6 +69,15 @@ def _body(starts: np.ndarray, size: int) -> np.ndarray:
     return mask
 
 
+def _sparse(starts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of n-grams of a batch of pieces as a sparse matrix by rows: (where each piece's entries begin, their buckets,
+    their counts). A piece has at least one symbol of its own, so no row is empty."""
+    body = _body(starts, len(codes))
+    piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))[body] * BUCKETS
+    entries, n = np.unique(np.concatenate([piece + h[body] for h in _hashes(codes)]), return_counts=True)
+    return np.searchsorted(entries, np.arange(len(starts)) * BUCKETS), entries % BUCKETS, n
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS_PER_LANG) -> dict:
     """{"langs": sorted names, "logp": float64 [BUCKETS, langs], "prior": [langs]}, learned from rows with text and lang.
 
@@ -111,7 +120,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_rows: int =
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (the posterior of the predicted language, 0 to 1).
 
-    Only the text is used. ``und`` with score 0 for a null text, one without a letter, or a model without
+    A batch of texts becomes a sparse matrix of counts, one entry for each text and bucket that occurs in it, which is
+    multiplied with the broadcast log-probabilities. Only the text is used. ``und`` with score 0 for a null text, one without a letter, or a model without
     languages. Ties go to the first name. Existing columns lang_pred and score are replaced.
     """
     spark = docs.sparkSession
@@ -129,13 +139,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             texts = b.column(at).to_pylist()
             known = [i for i, t in enumerate(texts) if langs and t is not None and letter.search(t)]
             total = np.tile(prior, (len(texts), 1)) if langs else np.zeros((len(texts), 1))
-            for own, starts, codes in _pieces([texts[i] for i in known], max(1 << 13, CHUNK * 8 // max(8, len(langs)))):
-                body = _body(starts, len(codes))
-                each = np.zeros((len(codes), len(langs)))
-                for h in _hashes(codes):
-                    each += logp[h]
-                each[~body] = 0
-                np.add.at(total, np.array(known)[own], np.add.reduceat(each, starts, axis=0))
+            for own, starts, codes in _pieces([texts[i] for i in known], max(1 << 13, CHUNK * 8 // max(8, N_MAX * len(langs)))):
+                first, bucket, n = _sparse(starts, codes)
+                np.add.at(total, np.array(known)[own], np.add.reduceat(logp[bucket] * n[:, None], first, axis=0))
             best = total.argmax(axis=1)
             post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             ok = np.zeros(len(texts), dtype=bool)
